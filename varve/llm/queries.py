@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP2_SQL, op2_chat_format
 from .simhash import op6_simhash_near_dedup
+from .topk import op1_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_chat_format": op2_chat_format,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+}
