@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_format
+from .langid import op9_language_id
+from .linededup import OP10_SQL, op10_line_dedup
 from .simhash import op6_simhash_near_dedup
 from .topk import op1_exact_top_k
 
@@ -14,8 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_format": op2_chat_format,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
