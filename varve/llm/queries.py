@@ -13,12 +13,14 @@ from .media import op5_media_columns
 from .mixing import op8_mixing
 from .packing import op4_best_fit_packing
 from .simhash import op6_simhash_near_dedup
+from .substrings import op3_suffix_dedup
 from .tokencounts import op7_token_counts
 from .topk import op1_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_format": op2_chat_format,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_media_columns": op5_media_columns,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
