@@ -5,8 +5,8 @@ before and after). A document's profile is taken over its whole text. Its distan
 over its n-grams, of how far each is out of place: the difference of ranks, or PROFILE if the language lacks
 it. The nearest language wins; ties go to the smaller name. The score is 1 - distance / greatest distance.
 
-Language profiles are fitted on at most `fit_documents` labelled documents of each language, those with the
-smallest hash of the id: the same ones in every run. Their n-gram counts are summed by Spark; only the
+Language profiles are fitted on `fit_documents` labelled documents of each language, those with the smallest
+hash of the id (rows of one id together): the same ones in every run. Only ids are sorted to find them. Their n-gram counts are summed by Spark; only the
 profiles, PROFILE rows a language, come to the driver and go out to the tasks.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled text every
@@ -77,8 +77,11 @@ def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict[str, n
             for lang, (codes, counts) in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    slim = documents.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("tie"))
-    chosen = slim.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "tie"))).where(F.col("at") <= fit_documents)
+    labelled = documents.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("doc_id"))
+    slim = labelled.select("lang", "draw")
+    drawn = slim.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("at") <= fit_documents)
+    upto = drawn.groupBy(F.col("lang").alias("of")).agg(F.max("draw").alias("upto"))  # a row a language
+    chosen = labelled.join(F.broadcast(upto), (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("upto")))
     counts = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("at") <= PROFILE)
     profiles: dict[str, list[tuple[int, int]]] = {}
