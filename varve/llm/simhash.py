@@ -137,23 +137,26 @@ def _bucket_links(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
-    """(u, v), u > v: for distinct (fp, node), node pairs that span the components of fingerprints at most `distance` (3 at most) bits apart."""
-    if not 0 <= distance <= 3:
-        raise ValueError("the blocks find pairs of at most 3 differing bits")
-    rows, bits = nodes.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp", "node"), 64
-    rows, bits = _finer(_finer(rows, 64), 48), 36
-    found = []
+def _buckets(nodes: DataFrame) -> list[DataFrame]:
+    """(key, fp, node) for distinct (key, fp, node) of keys under 8: buckets of at most HOT_BUCKET rows, or of the finest cut."""
+    rows = nodes.select(F.col("key").cast("long").alias("key"), F.col("fp").alias("rest"), "fp", "node")
+    rows, bits, found = _finer(_finer(rows, 64), 48), 36, []
     while bits > 21:
         hot = written(rows.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
         if hot.isEmpty():
             break
         found.append(rows.join(hot, "key", "left_anti"))
         rows, bits = _finer(rows.join(hot, "key"), bits), bits - bits // 4
-    found.append(rows)
+    return [r.select("key", "fp", "node") for r in [*found, rows]]
+
+
+def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """(u, v), u > v: for distinct (fp, node), node pairs that span the components of fingerprints at most `distance` (3 at most) bits apart."""
+    if not 0 <= distance <= 3:
+        raise ValueError("the blocks find pairs of at most 3 differing bits")
     out = None
-    for r in found:
-        e = r.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(distance), "u long, v long")
+    for r in _buckets(nodes.withColumn("key", F.lit(0))):
+        e = r.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(distance), "u long, v long")
         out = e if out is None else out.unionByName(e)
     return out.distinct()
 
@@ -189,6 +192,155 @@ def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 3, id_
     return docs.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Words of 64 bits in a wide fingerprint, and minima in a sketch of shingles.
+WIDE, MINIMA = 8, 128
+#: How far under the wanted similarity a sketch's estimate may lie for a pair to be compared in full.
+MARGIN = 0.12
+_RANDOM = np.random.default_rng(64)
+TURNS = _RANDOM.integers(1, 1 << 63, max(WIDE, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, width: int) -> list[bytes]:
+    """Runs of `width` words of a text, lower-cased; the whole sequence if it has fewer."""
+    words = (text or b"").lower().split()
+    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+
+
+def _hashes(items: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in items], np.uint64)
+
+
+def wide_fingerprint(text: bytes | None) -> list[int]:
+    """WIDE words of 64 bits: of each, a bit is set if over half of the text's different words have it in a hash of their own for that word."""
+    words = sorted(set((text or b"").lower().split()))
+    if not words:
+        return [0] * WIDE
+    h, out = _hashes(words), []
+    for turn in TURNS[:WIDE]:
+        x = h * turn
+        x ^= x >> np.uint64(32)
+        x *= turn
+        n = np.zeros(64, np.int64)
+        for a in range(0, len(x), SLICE):
+            n += np.unpackbits(x[a : a + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * n > len(x), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def sketch(text: bytes | None, width: int) -> bytes:
+    """16 bits of each of MINIMA least hashes of the text's shingles."""
+    h = np.unique(_hashes(shingles(text, width)))
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), SLICE // 16):
+        x = h[a : a + SLICE // 16, None] * TURNS[None, :MINIMA]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, x.min(axis=0))
+    return (least * TURNS[0] >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def _similar_links(distance: int, least: float):
+    """Spanning links of each bucket: fingerprints close enough, and sketches that agree in the part `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], []]
+        at = None
+
+        def spanned() -> list[tuple[int, int]]:
+            fp, node, sketches = np.array(held[0], np.int64).view(np.uint64), np.array(held[1], np.int64), np.frombuffer(b"".join(held[2]), "<u2").reshape(len(held[0]), -1)
+            # another start in each bucket, so that buckets give different links of a group
+            left, edges = np.roll(np.arange(len(fp)), hash(at) % len(fp)), []
+            while len(left):
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    x = queue.pop(0)
+                    near = np.bitwise_count(fp[left] ^ fp[x]) <= distance
+                    near[near] = (sketches[left[near]] == sketches[x]).mean(axis=1) >= least
+                    edges += [(int(max(node[x], node[y])), int(min(node[x], node[y]))) for y in left[near].tolist()]
+                    queue += left[near].tolist()
+                    left = left[~near]
+            return edges
+
+        for b in batches:
+            out = []
+            for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != at:
+                    out += spanned() if len(held[0]) > 1 else []
+                    held, at = [[], [], []], key
+                for x, y in zip(held, row, strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+        out = spanned() if len(held[0]) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _confirmed(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, last, own = [], None, set()
+            for i, (u, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if u != last:
+                    last, own = u, set(shingles(x, width))
+                other = set(shingles(y, width))
+                both = len(own & other)
+                if both >= similarity * (len(own) + len(other) - both):
+                    kept.append(i)
+            rows = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["u", "v"])
+
+    return run
+
+
+def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_hash, text_hash2, component_id): the near-duplicate groups of different texts, by their two hashes; component_id is the smallest doc_id of a group.
+
+    Texts link if their shingles of `width` words have a Jaccard similarity of `similarity` or more. Candidates
+    come from wide fingerprints of the texts' different words, WIDE words of 64 bits: two that differ in at most
+    4 * WIDE - 1 of all bits have a word that differs in 3 at most, which the blocks find. In a bucket, Hamming
+    distance and a sketch of the shingles choose spanning links, which are then compared in full.
+    """
+    spark = documents.sparkSession
+    small_batches(spark)
+    hashes = [F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), F.col("text")).alias("text_hash2")]
+    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(slim.where("doc_id is not null").select("doc_id", *hashes).groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("node")), "texts")
+    # a text's smallest id stands for it; repeated ids with other texts stand for them too
+    stand = slim.select("doc_id", "text", *hashes).join(texts.select(F.col("node").alias("doc_id"), "text_hash", "text_hash2"), ["doc_id", "text_hash", "text_hash2"]).dropDuplicates(["doc_id", "text_hash", "text_hash2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t) for t in found], pa.list_(pa.int64())), pa.array([sketch(t, width) for t in found], pa.binary())], names=["node", "fps", "sketch"])
+
+    signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, fps array<long>, sketch binary"), "signed")
+    edges = None
+    for r in _buckets(signed.select("node", F.posexplode("fps").alias("key", "fp"))):
+        shared = r.groupBy("key").count().where("count > 1").select("key")
+        full = written(r.join(shared, "key"), "shared").join(signed.select("node", "sketch"), "node").select("key", "fp", "node", "sketch")
+        e = full.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(_similar_links(3, similarity - MARGIN), "u long, v long")
+        edges = e if edges is None else edges.unionByName(e)
+    edges = written(edges.where("u <> v").distinct(), "candidates")
+    text = stand.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    full = edges.join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+    found = components(full.mapInArrow(_confirmed(width, similarity), "u long, v long"))
+    return texts.join(found, "node", "left").select("text_hash", "text_hash2", F.coalesce("component", "node").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents with one row of each group of near copies: the smallest doc_id's. Rows without an id stay."""
+    cols = documents.columns
+    groups = near_copies(documents, width, similarity)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # of the texts that hold the smallest id, the one with the smaller hash: rows of one id may differ
+    own = documents.select(F.col("doc_id").cast("long").alias("component_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")).distinct()
+    own = own.join(groups.withColumnRenamed("text_hash", "h").withColumnRenamed("text_hash2", "g"), ["component_id", "h", "g"])
+    first = own.groupBy("component_id").agg(F.min(F.struct("h", "g")).alias("t")).select(F.col("component_id").alias("__id"), F.col("t.h").alias("__h"), F.col("t.g").alias("__g"))
+    kept = documents.join(first, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")) & (F.xxhash64(F.lit(1), text) == F.col("__g")))
+    once = kept.dropDuplicates(["__id", "__h", "__g"]).select(*cols)
+    return once.unionByName(documents.where("doc_id is null"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
