@@ -276,16 +276,19 @@ class RunLengthIndex:
         symbols[self.begin + self.sizes] = np.arange(m)
         suffixes, half, rest = self._sorted(symbols, m + 256, length)
         before = symbols[suffixes - 1]
-        self.starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        change = np.concatenate(([True], before[1:] != before[:-1]))
+        self.starts = np.flatnonzero(change)
+        self.run_of = np.cumsum(change, dtype=np.int32) - 1  # a directory from rows to runs; a bucket has few enough rows
         self.chars = before[self.starts]
         lengths = np.diff(np.append(self.starts, len(before)))
         order = np.argsort(self.chars, kind="stable")
-        self.ranks = np.empty(len(order), np.int64)
-        self.ranks[order] = np.cumsum(lengths[order]) - lengths[order]
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.cumsum(lengths[order]) - lengths[order]
+        self.moves = ranks - self.starts  # LF moves all rows of a run by as much
         self.samples = suffixes[self.starts], suffixes[self.starts + lengths - 1]
         beyond = np.minimum(suffixes + rest, len(symbols) - 1)
         short = (half[suffixes][1:] != half[suffixes][:-1]) | (half[beyond][1:] != half[beyond][:-1])
-        self.classes = np.flatnonzero(np.concatenate(([True], short)))
+        self.class_of = np.cumsum(np.concatenate(([False], short)), dtype=np.int32)
 
     @staticmethod
     def _sorted(symbols: np.ndarray, top: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -295,24 +298,30 @@ class RunLengthIndex:
         key = symbols.copy()
         for k in range(1, width):
             key = (key << bits) | np.concatenate((symbols[k:], np.zeros(k, np.int64)))[:n]
-        half, rest = None, 0
+        # a rank is the place of the first suffix that is equal so far; only suffixes with equals are sorted on
+        rank, open_, old, half = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), None
         while True:
             order = np.argsort(key)
-            step = np.concatenate(([False], key[order[1:]] != key[order[:-1]]))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
+            open_, key, old = open_[order], key[order], old[order]
+            at = np.arange(len(open_))
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.concatenate(([True], old[1:] != old[:-1]))
+            rank[open_] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
             if width <= length < 2 * width:
-                half, rest = rank, length - width
-            if half is not None and step.sum() == n - 1:
-                return order, half, rest
-            key = rank << 32
-            key[: n - width] |= rank[width:]
+                half, rest = rank.copy(), length - width
+            open_ = open_[~(new & np.append(new[1:], True))]
+            if not len(open_):
+                suffixes = np.empty(n, np.int64)
+                suffixes[rank] = np.arange(n)
+                return (suffixes, rank, 0) if half is None else (suffixes, half, rest)
+            old, beyond = rank[open_], open_ + width
+            key = (old << 32) | np.where(beyond < n, rank[np.minimum(beyond, n - 1)], 0)
             width *= 2
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: the rows of the suffixes one byte longer."""
-        run = np.searchsorted(self.starts, rows, side="right") - 1
-        return self.ranks[run] + rows - self.starts[run]
+        run = self.run_of[rows]
+        return self.moves[run] + rows
 
     def streamed(self) -> tuple[np.ndarray, np.ndarray]:
         """Each string's rows from its last byte to its first: (place in the text, class of equal long matches)."""
@@ -326,11 +335,11 @@ class RunLengthIndex:
             rows = self.step(rows[:active])
             begin, sizes = begin[:active], sizes[:active]
             place = begin + sizes - t
-            run = np.searchsorted(self.starts, rows, side="right") - 1
+            run = self.run_of[rows]
             if not ((self.starts[run] != rows) | (first[run] == place)).all():
                 raise AssertionError("a walk left its text")
             places.append(place)
-            classes.append(np.searchsorted(self.classes, rows, side="right") - 1)
+            classes.append(self.class_of[rows])
         return np.concatenate([*places, np.zeros(0, np.int64)]), np.concatenate([*classes, np.zeros(0, np.int64)])
 
 
@@ -342,7 +351,7 @@ def long_matches(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.nd
     offset = place - index.begin[string]
     own = offset < n[string]
     place, kind, string, offset = place[own], kind[own], string[own], offset[own]
-    first = np.full(len(index.classes), np.iinfo(np.int64).max)
+    first = np.full(int(index.class_of[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, kind, place)
     there = first[kind]
     of = np.searchsorted(index.begin, there, side="right") - 1
