@@ -57,21 +57,27 @@ def read_amplification(keys: DataFrame, files: DataFrame) -> DataFrame:
     return keys.join(hits, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 
+def _newest(mut: DataFrame) -> DataFrame:
+    top = F.max_by(F.struct("seq", "vtype", "value"), "seq").alias("top")
+    return mut.groupBy("key").agg(top).select("key", "top.seq", "top.vtype", "top.value")
+
+
 def compacted(mut: DataFrame, oldest: int | None = None) -> DataFrame:
-    """What compaction keeps: a version goes if a newer one is visible at the oldest snapshot. Without snapshots, the newest of each key."""
+    """What compaction keeps: a version goes if a newer one is visible at the oldest snapshot. Without snapshots, the newest of each key.
+
+    That is every version after the snapshot and the newest one up to it: a filter and a partial aggregate, so a key
+    with very many versions is not sorted in one task.
+    """
     if oldest is None:
-        top = F.max_by(F.struct("seq", "vtype", "value"), "seq").alias("top")
-        return mut.groupBy("key").agg(top).select("key", "top.seq", "top.vtype", "top.value")
-    newer = F.lag("seq").over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    kept = mut.withColumn("newer", newer).where(F.col("newer").isNull() | (F.col("newer") > oldest))
-    return kept.select("key", "seq", "vtype", "value")
+        return _newest(mut)
+    late = mut.where(F.col("seq") > oldest).select("key", "seq", "vtype", "value")
+    return late.unionByName(_newest(mut.where(F.col("seq") <= oldest)))
 
 
 def compacted_raw(mut: DataFrame, oldest: int) -> DataFrame:
     """The rule as it runs in practice: a superseded version goes if it is itself older than the snapshot."""
-    newer = F.lag("seq").over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    kept = mut.withColumn("newer", newer).where(F.col("newer").isNull() | (F.col("seq") >= oldest))
-    return kept.select("key", "seq", "vtype", "value")
+    late = mut.where(F.col("seq") >= oldest).select("key", "seq", "vtype", "value")
+    return late.unionByName(_newest(mut).where(F.col("seq") < oldest))
 
 
 def without_old_tombstones(mut: DataFrame, oldest: int) -> DataFrame:
