@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .tokens import WordTokenizer, default_path
+from .tokens import default_path, tokenizer
 
 LENGTH, OPEN, END_ID = 2048, 4096, 0
 #: Pieces of a shard, about, and shards whose open bins are packed together.
@@ -80,7 +80,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, end, step = WordTokenizer(path), np.array([END_ID], "<u4").tobytes(), 4 * length
+        tokenize, end, step = tokenizer(path), np.array([END_ID], "<u4").tobytes(), 4 * length
         for b in batches:
             out = []
             for doc_id, text, tie in zip(*(c.to_pylist() for c in b.columns), strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches, table, written
-from .tokens import WordTokenizer, default_path
+from .tokens import default_path, tokenizer
 
 #: Ids in a block, and blocks whose summaries are scanned together.
 BLOCK, GROUP = 1 << 16, 1 << 10
@@ -35,11 +35,11 @@ BLOCK, GROUP = 1 << 16, 1 << 10
 def flat_files(documents: DataFrame, path: str | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, str]:
     """Blocks (file, block, ids binary, doc_ids), the separator and the ids' numpy type."""
     path = path or default_path()
-    separator = WordTokenizer(path).vocabulary
+    separator = tokenizer(path).vocabulary
     kind = "<u2" if separator < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, end, size = WordTokenizer(path), np.array([separator], kind).tobytes(), block * np.dtype(kind).itemsize
+        tokenize, end, size = tokenizer(path), np.array([separator], kind).tobytes(), block * np.dtype(kind).itemsize
         held, file, n, ended = bytearray(), None, 0, []  # ended: ids of documents that end in what is held, and where
 
         def cut(upto: int) -> pa.RecordBatch:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
-#: Words that a worker remembers before it forgets them all.
-REMEMBERED = 1 << 20
+#: Pieces of text and words that a worker remembers before it forgets them all.
+PIECES, WORDS = 1 << 19, 1 << 20
+#: Marks that end words, and that the tokenizer cuts off from letters.
+MARKS = ".,!?;:"
 
 
 def default_path() -> str:
@@ -14,11 +18,28 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+class _Remembered(dict):
+    """Ids by piece of text; what is missing is made and kept."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that drop white space and never look beyond it, so that a text's ids are those of its
-    pieces between spaces and line feeds, one after another.
+    For tokenizers that lower-case, drop white space and never look beyond it, so that a text's ids are those of its
+    pieces between spaces and line feeds, one after another; and that cut runs of letters off from other marks, so
+    that a word and the marks after it can be taken one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -26,21 +47,25 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.vocabulary = self.model.get_vocab_size()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def piece(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known = {"": b""}
-            found = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= 64:
-                self.known[word] = found
-        return found
+        self.words = _Remembered(self._encoded, WORDS)
+        self.pieces = _Remembered(self._made, PIECES)
+
+    def _encoded(self, piece: str) -> bytes:
+        return np.array(self.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if piece else b""
+
+    def _made(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word == piece:
+            return self.words[piece.lower() if piece.isascii() and piece.isalpha() else piece]
+        if word.isalpha():
+            return self.words[word.lower() if word.isascii() else word] + self.words[piece[len(word) :]]
+        return self._encoded(piece)
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self.piece, words))
+        return b"".join(map(self.pieces.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+@functools.cache
+def tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer, with what it remembers from one task to the next."""
+    return WordTokenizer(path)
