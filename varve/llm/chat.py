@@ -2,7 +2,8 @@ r"""Chat formatting with DataFrame functions only.
 
 A schema fingerprint is the SHA-256 of the nested field paths of a table that any known layout uses, sorted.
 It selects a declarative mapping, which turns prompt, instruction or message columns into canonical turns:
-an id, and an array of (role, text). Columns that no layout uses don't change the fingerprint.
+an id, and an array of (role, text). Columns that no layout uses don't change the fingerprint; a table that has fields
+of more than one layout gets the first one, in the order of LAYOUTS, that is there in full.
 
 Template. A turn is `<|start|>role<|sep|>text<|end|>`. Inside roles and texts a backslash is doubled, and one is
 put after the first character of every control string (of this template and of other common ones), so that none
@@ -73,9 +74,11 @@ BY_FINGERPRINT = {paths_fingerprint(x.paths): x for x in LAYOUTS}
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    found = BY_FINGERPRINT.get(paths_fingerprint(field_paths(schema)))
+    """The layout of a table's fingerprint; of one with fields of several layouts, the first layout that is there in full."""
+    paths = field_paths(schema)
+    found = BY_FINGERPRINT.get(paths_fingerprint(paths)) or next((x for x in LAYOUTS if set(x.paths) <= set(paths)), None)
     if not found:
-        raise ValueError(f"no mapping for the fields {sorted(KNOWN.intersection(field_paths(schema))) or field_paths(schema)}")
+        raise ValueError(f"no mapping for the fields {paths}")
     return found
 
 

@@ -11,8 +11,8 @@ AQE splits its hot keys.
 
 Defined results: a null text stays null, with 0 lines; an empty text has one empty line; texts of fewer lines
 than a window stay whole; rows of equal doc_id are places at the same document, so equal rows are not earlier
-than each other and get equal results; an empty table gives an empty result. All columns are kept; none of
-their names clashes, as the operator's own columns are removed or named by the caller.
+than each other and get equal results; an empty table gives an empty result. All columns are kept, whatever
+their names, but for one named like the counts' column, which is replaced; a null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WIDTH = 3
 
@@ -43,25 +43,28 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, id_col: str = "do
     return places.join(first, ["h", "g"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "text_hash", "at")
 
 
-def line_dedup(documents: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with `text_col` cut down to the lines kept, and (n_lines, n_removed) as a struct column `line_dedup`."""
+def line_dedup(documents: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", counts_col: str = "line_dedup") -> DataFrame:
+    """documents with `text_col` cut down to the lines kept, and (n_lines, n_removed) as a struct column `counts_col`."""
+    id_, hash_, at = fresh(documents, "id", "hash", "at")
     later = repeated_windows(documents, width, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats"))
-    later = later.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.map_from_arrays("ats", F.transform("ats", lambda _: F.lit(True))).alias("__at"))
-    doc = documents.join(later, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
+    later = later.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.map_from_arrays("ats", F.transform("ats", lambda _: F.lit(True))).alias(at))
+    doc = documents.join(later, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_)), "left")
     lines = _lines(F.col(text_col))
 
     def kept(i: Column) -> Column:
         covered = F.lit(False)
         for k in range(width):
-            covered = covered | F.map_contains_key("__at", i - k)
+            covered = covered | F.map_contains_key(at, i - k)
         return ~covered
 
-    left = F.when(F.col("__at").isNull(), lines).otherwise(F.filter(lines, lambda _, i: kept(i)))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long")
-    removed = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long")
-    text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return doc.select(*(text.alias(c) if c == text_col else F.col(c) for c in documents.columns), F.struct(n.alias("n_lines"), removed.alias("n_removed")).alias("line_dedup"))
+    whole = F.col(at).isNull()
+    left = F.when(whole, lines).otherwise(F.filter(lines, lambda _, i: kept(i)))
+    none = F.col(text_col).isNull()
+    n = F.when(none, 0).otherwise(F.size(lines)).cast("long")
+    removed = F.when(none | whole, 0).otherwise(F.size(lines) - F.size(left)).cast("long")
+    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    kept_columns = [text.alias(c) if c == text_col else F.col(c) for c in documents.columns if c != counts_col]
+    return doc.select(*kept_columns, F.struct(n.alias("n_lines"), removed.alias("n_removed")).alias(counts_col))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

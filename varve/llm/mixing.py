@@ -17,7 +17,7 @@ table of sources, one short row each, is one task's group.
 
 Defined results: null and empty texts have size 0 and give 0; a source of size 0 has target 0; a null source is a
 source; repeated rows are documents of their own, in the order of their texts' hash; an empty table gives an
-empty result; extra columns are kept by `mix`, and `taken_words` and the like replace columns of those names.
+empty result; `mix` reads no other columns, and `mixed_texts` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, written
+from .common import fresh, small_batches, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -120,10 +120,19 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mixed_texts(documents: DataFrame, **how: object) -> DataFrame:
     """documents as the mix has them: whole copies of each text, and its first words where a block ends inside it."""
     cols = documents.columns
-    m = mix(documents, **how).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0").distinct()
-    doc = documents.join(m, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")) & F.col("source").eqNullSafe(F.col("__source")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    doc = doc.withColumn("__copy", F.explode(copies)).withColumn("__words", F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")))
+    id_, hash_, source_, size, taken, copy, words = fresh(documents, "id", "hash", "source_of", "size", "taken", "copy", "words")
+    m = mix(documents, **how).where("taken > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("source").alias(source_), F.col("size").alias(size), F.col("taken").alias(taken))
+    doc, same = documents, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)) & F.col("source").cast("string").eqNullSafe(F.col(source_))
+    m = written(m, "mix")
+    if not m.groupBy(id_, hash_, source_).count().where("count > 1").isEmpty():
+        # equal rows may be taken differently: the n-th of them in the mix goes to the n-th in the table
+        nth, nth_ = fresh(documents, "nth", "nth_of")
+        m = m.withColumn(nth_, F.row_number().over(Window.partitionBy(id_, hash_, source_).orderBy(F.desc(taken))))
+        doc = documents.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.col("source").cast("string")).orderBy(F.lit(0))))
+        same = same & (F.col(nth) == F.col(nth_))
+    doc = doc.join(m, same)
+    copies = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))
+    doc = doc.withColumn(copy, F.explode(copies)).withColumn(words, F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)))
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +145,7 @@ def mixed_texts(documents: DataFrame, **how: object) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=cols)
 
     small_batches(documents.sparkSession)
-    return doc.select(*cols, "__size", "__words").mapInArrow(run, schema)
+    return doc.select(*cols, size, words).mapInArrow(run, schema)
 
 
 def first_words(text: str, n: int) -> str:

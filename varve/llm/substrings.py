@@ -190,7 +190,7 @@ RESOLVED_SCHEMA = "kind int, h long, doc_id long, crc int, lo int, n int"
 COVERED, INDEX, WINDOWS = 0, 1, 2
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by owner, bytes and place: covered runs, and the contexts of owners that have different ones."""
     last: tuple | None = None  # owner, bytes and place of the first of the equal contexts that the last batch ended in
     open_: list[np.ndarray] = []  # first contexts of the owner that it ended in, while they may all be indexed
@@ -236,7 +236,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = np.flatnonzero(np.concatenate(([True], g[0, 1:] != g[0, :-1])))
                 several = np.repeat(np.add.reduceat(g[5], start) > 1, np.diff(np.append(start, g.shape[1])))
                 size = np.repeat(np.diff(np.append(start, g.shape[1])), np.diff(np.append(start, g.shape[1])))
-                for kind, pick in ((INDEX, several & (size <= HOT)), (WINDOWS, several & (size > HOT))):
+                for kind, pick in ((INDEX, several & (size <= most)), (WINDOWS, several & (size > most))):
                     if pick.any():
                         yield rows(kind, *g[:5, pick])
                 continue
@@ -245,12 +245,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_, n_open, hot = [], 0, False
             open_.append(g)
             n_open += g.shape[1]
-            if n_open > HOT:  # what is held goes on, so that no more than HOT contexts are
+            if n_open > most:  # what is held goes on, so that no more contexts than that are
                 hot = True
                 yield rows(WINDOWS, *np.concatenate(open_, axis=1)[:5])
-                open_, n_open = [g[:, -1:]], 0
-                open_[0] = np.concatenate((open_[0][:5], [[0]]))
-                open_ = [open_[0]]
+                open_, n_open = [g[:, -1:]], 0  # the owner, for what comes; a row that is sent again does no harm, as windows are made distinct
     yield from _close(rows, open_, hot)
 
 
@@ -417,12 +415,12 @@ def _fetch(documents: DataFrame, resolved: DataFrame, kind: int) -> DataFrame:
     return there.mapInArrow(_read(kind), schema)
 
 
-def covered_runs(documents: DataFrame) -> DataFrame:
+def covered_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, crc, lo, n): runs of bytes to remove, which may overlap; documents are (doc_id long, text binary, crc)."""
     small_batches(documents.sparkSession)
     found = documents.select("doc_id", "text").mapInArrow(_find, FOUND_SCHEMA)
     dealt = found.repartition("h").sortWithinPartitions("h", "c", "doc_id", "lo")
-    resolved = written(dealt.mapInArrow(_resolve, RESOLVED_SCHEMA), "resolved")
+    resolved = written(dealt.mapInArrow(lambda batches: _resolve(batches, hot), RESOLVED_SCHEMA), "resolved")
     indexed = _fetch(documents, resolved, INDEX).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "crc", "lo", "n", "context").mapInArrow(_match, COVERS_SCHEMA)
     out = resolved.where(F.col("kind") == COVERED).select(*COVERS).unionByName(written(indexed, "matched"))
     if not resolved.where(F.col("kind") == WINDOWS).isEmpty():
@@ -449,10 +447,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), a row for each document."""
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("crc", _crc(F.coalesce(F.col("text"), F.lit(b""))))
-    runs = covered_runs(slim).groupBy(F.col("doc_id").alias("id"), F.col("crc").alias("sum")).agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    runs = covered_runs(slim, hot).groupBy(F.col("doc_id").alias("id"), F.col("crc").alias("sum")).agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     doc = slim.join(runs, (F.col("doc_id") == F.col("id")) & (F.col("crc") == F.col("sum")), "left").select("doc_id", "text", "runs")
     return doc.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
