@@ -57,3 +57,15 @@ def test_known_counts(spark):
     raw = lsm.compacted_raw(mut, 5000)
     assert raw.count() == 5001 and visible.live(raw, 5000).count() == 1
     assert mut.agg(F.max("seq")).first()[0] == 10000
+
+
+def test_block_index_and_csv(spark, tmp_path):
+    from varve.operators.blocks import block_cuts, block_index
+    from varve.workloads import append_csv
+
+    entries = spark.createDataFrame([(1, i, 10) for i in range(7)] + [(2, 0, 99)], "file_no long, place long, bytes long")
+    got = sorted(tuple(r) for r in block_index(block_cuts(entries, 25)).collect())
+    assert got == [(1, 0, 3, 30, 2), (1, 1, 3, 30, 5), (1, 2, 1, 10, 6), (2, 0, 1, 99, 0)]
+    for _ in range(2):
+        append_csv(spark.createDataFrame([("fillseq", 1.5)], "name string, seconds double"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import workloads as W
 from ..functions import bytesfn as B
 from ..model import files_of_parts, fixed_width, mut_of_events, table
-from ..operators import batch, lsm, manifest, scan, visible
+from ..operators import batch, blocks, lsm, manifest, scan, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -554,3 +554,93 @@ def _(spark, d):
 @query("wl_level_stats_text", f"WITH {STATS} SELECT string_agg('L' || level || ':' || n_files || 'f/' || bytes || 'b', '|' ORDER BY level) AS stats FROM stats")
 def _(spark, d):
     return lsm.level_text(lsm.level_stats(_files(spark, d)))
+
+
+@query("kv_scan_checksum", f"WITH {LIVE} SELECT count(*) AS n, CAST(sum(CAST(key AS BIGINT)) AS BIGINT) AS checksum FROM live")
+def _(spark, d):
+    return visible.live(_mut(spark, d)).agg(F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("checksum"))
+
+
+@query(
+    "lsm_locate_file",
+    """WITH files AS (SELECT CAST(1 + p_partkey % 3 AS INTEGER) AS level, p_partkey AS file_no, lpad(CAST(p_partkey AS VARCHAR), 16, '0') AS smallest, lpad(CAST(p_partkey + 1 AS VARCHAR), 16, '0') AS largest FROM part),
+    asked AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS key FROM customer),
+    f AS (SELECT key, level, arg_min(file_no, largest) AS file_no, arg_min(smallest, largest) AS smallest FROM asked JOIN files ON largest >= key GROUP BY key, level)
+    SELECT key, level, file_no FROM f WHERE smallest <= key""",
+)
+def _(spark, d):
+    n = F.col("p_partkey")
+    files = table(spark, d, "part").select((1 + n % 3).cast("int").alias("level"), n.alias("file_no"), fixed_width(n).alias("smallest"), fixed_width(n + 1).alias("largest"))
+    return lsm.candidates(_asked(spark, d), files).select("key", "level", "file_no")
+
+
+@query(
+    "lsm_block_cut",
+    f"""WITH RECURSIVE {PREFIXED.replace("prefixed AS", "prefixed AS MATERIALIZED")}, e AS MATERIALIZED (SELECT nth // 500 AS file_no, nth % 500 AS place, CAST({_varint("shared")} + {_varint("(length(key) - shared)")} + 1 + length(key) - shared + length(key) % 11 AS BIGINT) AS bytes FROM prefixed),
+    r AS (SELECT file_no, place, bytes, CAST(0 AS BIGINT) AS block, bytes AS held FROM e WHERE place = 0
+      UNION ALL SELECT e.file_no, e.place, e.bytes, CASE WHEN r.held >= 1024 THEN r.block + 1 ELSE r.block END, CASE WHEN r.held >= 1024 THEN e.bytes ELSE r.held + e.bytes END FROM r JOIN e ON e.file_no = r.file_no AND e.place = r.place + 1)
+    SELECT file_no, place, bytes, block FROM r""",
+)
+def _(spark, d):
+    k, v = F.length("key").cast("long"), (F.length("key") % 11).cast("long")
+    entries = _prefixed(spark, d).select(F.floor(F.col("nth") / 500).cast("long").alias("file_no"), (F.col("nth") % 500).alias("place"), B.entry_size(F.col("shared"), k, v).alias("bytes"))
+    return blocks.block_cuts(entries, 1024)
+
+
+@query("manifest_apply_edit", f"WITH {FILES} SELECT level, file_no, file_size, smallest, largest FROM files WHERE file_no % 4 <> 0 UNION ALL SELECT level + 1, file_no + 1000000, file_size, smallest, largest FROM files WHERE file_no % 4 = 0")
+def _(spark, d):
+    files = _files(spark, d)
+    gone = files.where("file_no % 4 = 0")
+    new = gone.select((F.col("level") + 1).alias("level"), (F.col("file_no") + 1000000).alias("file_no"), "file_size", "smallest", "largest")
+    return manifest.applied(files, gone.select("level", "file_no"), new)
+
+
+@query("manifest_directory_stats", f"WITH {FILES} SELECT count(*) FILTER (WHERE file_no % 5 <> 0) AS n_tables, count(*) FILTER (WHERE file_no % 5 = 0) AS n_logs, CAST(sum(file_size) AS BIGINT) AS bytes FROM files")
+def _(spark, d):
+    n = F.col("file_no")
+    listing = _files(spark, d).select(F.when(n % 5 == 0, B.file_name(n, "log")).otherwise(B.file_name(n, "sst")).alias("name"), F.col("file_size").alias("size"))
+    return manifest.directory_stats(listing)
+
+
+@query("manifest_obsolete_logs", "SELECT p_partkey AS log_no FROM part WHERE p_partkey < 100 ORDER BY log_no")
+def _(spark, d):
+    return manifest.obsolete_logs(table(spark, d, "part").select(F.col("p_partkey").alias("log_no")), 100)
+
+
+@query("fn_slice_compare", "SELECT p_partkey, CASE WHEN p_name < p_type THEN -1 WHEN p_name > p_type THEN 1 ELSE 0 END AS c FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", B.slice_compare(F.col("p_name"), F.col("p_type")).alias("c"))
+
+
+def _varint_sql(x: str) -> str:
+    n = _varint(x)
+    return " || ".join(f"CASE WHEN {i} < {n} THEN printf('%02x', (({x} >> {7 * i}) & 127) | CASE WHEN {i} < {n} - 1 THEN 128 ELSE 0 END) ELSE '' END" for i in range(9))
+
+
+@query("fn_varint_codec", f"WITH v AS (SELECT o_orderkey, o_orderkey * o_orderkey * 17 AS x FROM orders) SELECT o_orderkey, {_varint_sql('x')} AS digits, x AS value, CAST({_varint('x')} AS INTEGER) AS used FROM v")
+def _(spark, d):
+    digits = B.varint(F.col("o_orderkey") * F.col("o_orderkey") * 17)
+    back = table(spark, d, "orders").select("o_orderkey", digits.alias("digits")).withColumn("back", B.varint_decode(F.unhex("digits")))
+    return back.select("o_orderkey", "digits", "back.value", "back.used")
+
+
+@query("fn_fixed_codec", "SELECT o_orderkey, " + " || ".join(f"printf('%02x', (o_orderkey * 977 >> {8 * i}) & 255)" for i in range(8)) + " AS digits, o_orderkey * 977 AS value FROM orders")
+def _(spark, d):
+    digits = B.fixed_le(F.col("o_orderkey") * 977, 8)
+    return table(spark, d, "orders").select("o_orderkey", digits.alias("digits")).withColumn("value", B.fixed_le_decode(F.unhex("digits")))
+
+
+@query("wl_worker_puts", "SELECT CAST(i // 500 AS INTEGER) AS worker, rpad('t' || printf('%03d', i // 500) || '_' || printf('%09d', i % 500), 16, '_') AS key, i + 1 AS seq, 1 AS vtype, rpad('v' || (i // 500) || '_' || (i % 500) || '_', 100, 'x') AS value FROM range(4000) t(i)")
+def _(spark, d):
+    return W.worker_puts(spark, 8, 500)
+
+
+@query(
+    "wl_compaction_ab",
+    f"""WITH c AS (SELECT i, CASE WHEN i < 5000 THEN i ELSE (i % 5000) % 500 END AS k FROM range(20000) t(i)), k AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i DESC) AS r FROM c),
+    z AS (SELECT count(*) AS n, count(*) FILTER (WHERE r = 1) AS m FROM k)
+    SELECT n AS n_before, n * (1 + 24 + {_varint("100")} + 100) AS bytes_before, m AS n_after, m * (1 + 24 + 1 + 100) AS bytes_after, round(CAST(n AS DOUBLE) / m, 6) AS amplification FROM z""",
+)
+def _(spark, d):
+    churned = W.churn(spark, 5000, 500, 3)
+    return lsm.space(churned, lsm.compacted(churned))

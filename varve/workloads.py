@@ -47,3 +47,8 @@ def throughput(name: str, ops: DataFrame) -> DataFrame:
     sums = ops.groupBy(name).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("micros").alias("micros"))
     seconds = F.col("micros") / 1e6
     return sums.select(name, "n", "bytes", "micros", F.round(F.col("n") / seconds, 6).alias("ops_per_sec"), F.round(F.col("bytes") / 1048576.0 / seconds, 6).alias("mb_per_sec"), F.round(F.col("micros") / F.col("n"), 6).alias("micros_per_op"))
+
+
+def append_csv(results: DataFrame, path: str) -> None:
+    """Benchmark results, a row each, added to a folder of CSV files with headers."""
+    results.coalesce(1).write.mode("append").option("header", True).csv(path)
