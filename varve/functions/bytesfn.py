@@ -6,6 +6,8 @@ products are made of 16-bit halves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; a column named twice in an expression may be computed twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def byte_values(b: Column) -> Column:
     """The bytes as an array of longs."""
     digits = F.hex(b.cast("binary"))
@@ -66,7 +73,10 @@ def add32(a: Column, b: Column) -> Column:
 
 def hash32(b: Column, seed: int = BLOOM_SEED) -> Column:
     """The 32-bit hash: little-endian words of four bytes, then a tail of one to three."""
-    values = byte_values(b)
+    return let(byte_values(b), lambda values: _hash_of(values, seed))
+
+
+def _hash_of(values: Column, seed: int) -> Column:
     n = F.size(values)
     start = _long(seed).bitwiseXOR(multiply32(n.cast("long"), HASH_MULTIPLIER))
 
@@ -76,12 +86,13 @@ def hash32(b: Column, seed: int = BLOOM_SEED) -> Column:
     def word(i: Column) -> Column:
         return at(i) + F.shiftleft(at(i + 1), 8) + F.shiftleft(at(i + 2), 16) + F.shiftleft(at(i + 3), 24)
 
-    def round_(h: Column, i: Column) -> Column:
-        x = multiply32(add32(h, word(i)), HASH_MULTIPLIER)
-        whole = x.bitwiseXOR(F.shiftright(x, 16))
-        return F.when(i + 4 <= n, whole).otherwise(x.bitwiseXOR(F.shiftright(x, 24)))
+    def turn(h: Column, i: Column) -> Column:
+        def shifted(x: Column) -> Column:
+            return x.bitwiseXOR(F.when(i + 4 <= n, F.shiftright(x, 16)).otherwise(F.shiftright(x, 24)))
+
+        return let(add32(h, word(i)), lambda x: let(multiply32(x, HASH_MULTIPLIER), shifted))
 
-    return F.when(n == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(4)), start, round_))
+    return F.when(n == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(4)), start, turn))
 
 
 def crc32c_table() -> list[int]:
@@ -123,9 +134,8 @@ def bloom_bits(n_keys: Column, bits_per_key: int) -> Column:
 
 def bloom_positions(key: Column, bits: Column, k: int) -> Column:
     """The array of bits of a key, repeats included."""
-    h = hash32(key)
-    delta = _rotated(h, 17)
-    return F.transform(F.array(*(_long(j) for j in range(k))), lambda j: (h + j * delta).bitwiseAND(_long(U32)) % bits)
+    probes = F.array(*(_long(j) for j in range(k)))
+    return let(hash32(key), lambda h: let(_rotated(h, 17), lambda d: F.transform(probes, lambda j: (h + j * d).bitwiseAND(_long(U32)) % bits)))
 
 
 def bloom_filter(positions: Column, bits: Column, k: int) -> Column:
@@ -156,7 +166,10 @@ def varint(v: Column) -> Column:
 
 def varint_decode(b: Column, most: int = 10) -> Column:
     """(value, used) of the varint that the bytes begin with; null if they end before it does or it is over `most` bytes."""
-    values = byte_values(b)
+    return let(byte_values(b), lambda values: _varint_of(values, most))
+
+
+def _varint_of(values: Column, most: int) -> Column:
     n = F.size(F.filter(values, lambda x, i: (i < most) & (F.size(F.filter(F.slice(values, 1, i), lambda y: y < 128)) == 0)))
     used = F.slice(values, 1, n)
     value = F.aggregate(F.transform(used, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _long(0), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", p["x"].bitwiseAND(_long(0x7F)), p["i"] * 7)))
