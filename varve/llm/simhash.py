@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import fresh, small_batches, table, written
 
 SEED = 42
 #: A bucket of more fingerprints is cut by a further block.
@@ -138,8 +138,8 @@ def _bucket_links(distance: int):
 
 
 def _buckets(nodes: DataFrame) -> list[DataFrame]:
-    """(key, fp, node) for distinct (key, fp, node) of keys under 8: buckets of at most HOT_BUCKET rows, or of the finest cut."""
-    rows = nodes.select(F.col("key").cast("long").alias("key"), F.col("fp").alias("rest"), "fp", "node")
+    """(key, fp, node) for distinct (fp, node): buckets of at most HOT_BUCKET rows, or of the finest cut."""
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp", "node")
     rows, bits, found = _finer(_finer(rows, 64), 48), 36, []
     while bits > 21:
         hot = written(rows.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
@@ -155,7 +155,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the blocks find pairs of at most 3 differing bits")
     out = None
-    for r in _buckets(nodes.withColumn("key", F.lit(0))):
+    for r in _buckets(nodes):
         e = r.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(distance), "u long, v long")
         out = e if out is None else out.unionByName(e)
     return out.distinct()
@@ -192,12 +192,17 @@ def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 3, id_
     return docs.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Words of 64 bits in a wide fingerprint, and minima in a sketch of shingles.
-WIDE, MINIMA = 8, 128
+#: Blocks of a wide fingerprint and their bits, and the least hashes in a sketch of shingles.
+BLOCKS, BLOCK_BITS, MINIMA = 64, 24, 128
+#: Words of 64 bits: those that hold the blocks, and one more for a first check.
+WORDS = BLOCKS * BLOCK_BITS // 64 + 1
+#: Bits of the 64 of the first check that near copies may differ in: texts of a similarity of 0.8 differ in 9 or so, others in 32.
+CHECK = 18
 #: How far under the wanted similarity a sketch's estimate may lie for a pair to be compared in full.
-MARGIN = 0.12
-_RANDOM = np.random.default_rng(64)
-TURNS = _RANDOM.integers(1, 1 << 63, max(WIDE, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MARGIN = 0.15
+#: Texts of a bucket among which the strongest links are sought; in larger ones, links to a few texts that reach the others.
+FEW = 4096
+TURNS = np.random.default_rng(64).integers(1, 1 << 63, max(WORDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -210,21 +215,24 @@ def _hashes(items: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, SEED) for x in items], np.uint64)
 
 
-def wide_fingerprint(text: bytes | None) -> list[int]:
-    """WIDE words of 64 bits: of each, a bit is set if over half of the text's different words have it in a hash of their own for that word."""
+def wide_fingerprint(text: bytes | None) -> np.ndarray:
+    """WORDS words of 64 bits: of each, a bit is set if over half of the text's different words have it in a hash of their own for that word."""
     words = sorted(set((text or b"").lower().split()))
     if not words:
-        return [0] * WIDE
-    h, out = _hashes(words), []
-    for turn in TURNS[:WIDE]:
-        x = h * turn
+        return np.zeros(WORDS, np.uint64)
+    h, n = _hashes(words), np.zeros(64 * WORDS, np.int64)
+    for a in range(0, len(h), SLICE // 16):
+        x = h[a : a + SLICE // 16, None] * TURNS[None, :WORDS]
         x ^= x >> np.uint64(32)
-        x *= turn
-        n = np.zeros(64, np.int64)
-        for a in range(0, len(x), SLICE):
-            n += np.unpackbits(x[a : a + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * n > len(x), bitorder="little").view(np.int64)[0]))
-    return out
+        x *= TURNS[None, :WORDS]
+        n += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * n > len(h), bitorder="little").view(np.uint64)
+
+
+def blocks(fingerprint: np.ndarray) -> np.ndarray:
+    """The blocks of a wide fingerprint as keys: the number of the block, then its bits."""
+    each = fingerprint[:-1].view(np.uint8).reshape(BLOCKS, BLOCK_BITS // 8).astype(np.int64)
+    return (np.arange(BLOCKS) << BLOCK_BITS) | (each << (8 * np.arange(BLOCK_BITS // 8))).sum(axis=1)
 
 
 def sketch(text: bytes | None, width: int) -> bytes:
@@ -238,39 +246,94 @@ def sketch(text: bytes | None, width: int) -> bytes:
     return (least * TURNS[0] >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def _similar_links(distance: int, least: float):
-    """Spanning links of each bucket: fingerprints close enough, and sketches that agree in the part `least` or more."""
+def _close_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, node, check) sorted by key: the texts of each bucket with another near by, as (hash of the set, node)."""
+    mixed = lambda x: (x ^ (x >> np.uint64(31))) * TURNS[1]
 
+    def sets(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        two = start[size == 2]
+        two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= CHECK]
+        a, b = np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])
+        name = (mixed(mixed(a.view(np.uint64)) + b.view(np.uint64))).view(np.int64)
+        out = [(name, a), (name, b)]
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own, bits = node[s : s + n], check[s : s + n]
+            if n <= FEW:
+                near = [(np.bitwise_count(bits[a : a + 256, None] ^ bits[None, :]) <= CHECK).sum(axis=1) > 1 for a in range(0, n, 256)]
+                own = np.sort(own[np.concatenate(near)])
+            if len(own) > 1:
+                out.append((np.full(len(own), xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), np.int64), own))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["bucket", "node"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols[2] = cols[2].view(np.uint64)
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield sets(*(c[:cut] for c in cols))
+    if held:
+        yield sets(*held)
+
+
+def strongest(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest by the most similar pairs of at least `least`; links by way of few texts where there are more than FEW."""
+    n, edges = len(sketches), []
+    if n <= FEW:
+        left, best, of = np.arange(1, n), np.full(n, -1.0), np.zeros(n, np.int64)
+        x = 0
+        while len(left):
+            like = (sketches[left] == sketches[x]).mean(axis=1)
+            better = like > best[left]
+            best[left[better]], of[left[better]] = like[better], x
+            x = int(left[best[left].argmax()])
+            if best[x] >= least:
+                edges.append((int(of[x]), x))
+            left = left[left != x]
+        return edges
+    left = np.arange(n)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop(0)
+            near = (sketches[left] == sketches[x]).mean(axis=1) >= least
+            edges += [(x, y) for y in left[near].tolist()]
+            queue += left[near].tolist()
+            left = left[~near]
+    return edges
+
+
+def _strong_links(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], []]
-        at = None
-
-        def spanned() -> list[tuple[int, int]]:
-            fp, node, sketches = np.array(held[0], np.int64).view(np.uint64), np.array(held[1], np.int64), np.frombuffer(b"".join(held[2]), "<u2").reshape(len(held[0]), -1)
-            # another start in each bucket, so that buckets give different links of a group
-            left, edges = np.roll(np.arange(len(fp)), hash(at) % len(fp)), []
-            while len(left):
-                queue, left = [int(left[0])], left[1:]
-                while queue and len(left):
-                    x = queue.pop(0)
-                    near = np.bitwise_count(fp[left] ^ fp[x]) <= distance
-                    near[near] = (sketches[left[near]] == sketches[x]).mean(axis=1) >= least
-                    edges += [(int(max(node[x], node[y])), int(min(node[x], node[y]))) for y in left[near].tolist()]
-                    queue += left[near].tolist()
-                    left = left[~near]
-            return edges
+        """Batches of (bucket, node, sketch) sorted by bucket."""
+        at, nodes, held = None, [], []
+
+        def found() -> list[tuple[int, int]]:
+            if len(nodes) < 2:
+                return []
+            edges = strongest(np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1), least)
+            return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in edges]
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
         for b in batches:
             out = []
-            for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != at:
-                    out += spanned() if len(held[0]) > 1 else []
-                    held, at = [[], [], []], key
-                for x, y in zip(held, row, strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
-        out = spanned() if len(held[0]) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+            for bucket, node, sketched in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != at:
+                    out += found()
+                    at, nodes, held = bucket, [], []
+                nodes.append(node)
+                held.append(sketched)
+            yield batch(out)
+        yield batch(found())
 
     return run
 
@@ -296,30 +359,32 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     """(text_hash, text_hash2, component_id): the near-duplicate groups of different texts, by their two hashes; component_id is the smallest doc_id of a group.
 
     Texts link if their shingles of `width` words have a Jaccard similarity of `similarity` or more. Candidates
-    come from wide fingerprints of the texts' different words, WIDE words of 64 bits: two that differ in at most
-    4 * WIDE - 1 of all bits have a word that differs in 3 at most, which the blocks find. In a bucket, Hamming
-    distance and a sketch of the shingles choose spanning links, which are then compared in full.
+    come from wide fingerprints, of the texts' different words, in BLOCKS blocks of BLOCK_BITS bits: two that differ in
+    fewer bits than there are blocks share one for sure, and near copies that differ in more are very likely to. In a bucket
+    the Hamming distance of one more word is verified. Buckets that are left with the same texts are merged, and in each
+    the most similar pairs by a sketch of the shingles are chosen as a spanning forest and then compared in full.
     """
     spark = documents.sparkSession
     small_batches(spark)
     hashes = [F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), F.col("text")).alias("text_hash2")]
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = written(slim.where("doc_id is not null").select("doc_id", *hashes).groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("node")), "texts")
-    # a text's smallest id stands for it; repeated ids with other texts stand for them too
+    # a text's smallest id stands for it
     stand = slim.select("doc_id", "text", *hashes).join(texts.select(F.col("node").alias("doc_id"), "text_hash", "text_hash2"), ["doc_id", "text_hash", "text_hash2"]).dropDuplicates(["doc_id", "text_hash", "text_hash2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t) for t in found], pa.list_(pa.int64())), pa.array([sketch(t, width) for t in found], pa.binary())], names=["node", "fps", "sketch"])
-
-    signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, fps array<long>, sketch binary"), "signed")
-    edges = None
-    for r in _buckets(signed.select("node", F.posexplode("fps").alias("key", "fp"))):
-        shared = r.groupBy("key").count().where("count > 1").select("key")
-        full = written(r.join(shared, "key"), "shared").join(signed.select("node", "sketch"), "node").select("key", "fp", "node", "sketch")
-        e = full.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(_similar_links(3, similarity - MARGIN), "u long, v long")
-        edges = e if edges is None else edges.unionByName(e)
+            wide = [wide_fingerprint(t) for t in found]
+            keys = [blocks(w) for w in wide]
+            check = np.array([w[-1] for w in wide], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(check, pa.int64()), pa.array([sketch(t, width) for t in found], pa.binary())], names=["node", "keys", "check", "sketch"])
+
+    signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, keys array<long>, check long, sketch binary"), "signed")
+    rows = signed.select(F.explode("keys").alias("key"), "node", "check")
+    sets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_close_sets, "bucket long, node long").distinct()
+    full = sets.join(signed.select("node", "sketch"), "node").select("bucket", "node", "sketch")
+    edges = full.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_strong_links(similarity - MARGIN), "u long, v long")
     edges = written(edges.where("u <> v").distinct(), "candidates")
     text = stand.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     full = edges.join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
@@ -335,9 +400,10 @@ def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8) -
     # of the texts that hold the smallest id, the one with the smaller hash: rows of one id may differ
     own = documents.select(F.col("doc_id").cast("long").alias("component_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")).distinct()
     own = own.join(groups.withColumnRenamed("text_hash", "h").withColumnRenamed("text_hash2", "g"), ["component_id", "h", "g"])
-    first = own.groupBy("component_id").agg(F.min(F.struct("h", "g")).alias("t")).select(F.col("component_id").alias("__id"), F.col("t.h").alias("__h"), F.col("t.g").alias("__g"))
-    kept = documents.join(first, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")) & (F.xxhash64(F.lit(1), text) == F.col("__g")))
-    once = kept.dropDuplicates(["__id", "__h", "__g"]).select(*cols)
+    id_, h, g = fresh(documents, "id", "h", "g")
+    first = own.groupBy("component_id").agg(F.min(F.struct("h", "g")).alias("t")).select(F.col("component_id").alias(id_), F.col("t.h").alias(h), F.col("t.g").alias(g))
+    kept = documents.join(first, (F.col("doc_id") == F.col(id_)) & (F.xxhash64(text) == F.col(h)) & (F.xxhash64(F.lit(1), text) == F.col(g)))
+    once = kept.dropDuplicates([id_, h, g]).select(*cols)
     return once.unionByName(documents.where("doc_id is null"))
 
 
