@@ -16,7 +16,6 @@ empty result. Very long texts are counted in full; other columns are not read, w
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,28 +32,30 @@ PROFILE = 300
 FIT_DOCUMENTS = 2000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose n-grams a worker remembers.
-REMEMBERED = 1 << 18
-CODE_BITS = 21
-
-
-@functools.lru_cache(maxsize=REMEMBERED)
-def _grams(word: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams of a word, repeats included: code points in 21 bits each."""
-    c = np.concatenate(([95], np.frombuffer(word.encode("utf-32-le"), np.uint32), [95])).astype(np.int64)
-    two = (c[:-1] << CODE_BITS) | c[1:]
-    return np.concatenate((c[1:-1], two, (two[:-1] << CODE_BITS) | c[2:]))
+MARK, CODE_BITS = "_", 21
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a whole text, ascending, with their counts."""
+    """The n-grams of a whole text, ascending, with their counts: as code points in CODE_BITS bits each.
+
+    They are taken of the different words, one after another with a mark before and after each, by how often each is there.
+    """
     words = Counter(WORD.findall((text or "").lower()))
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = [_grams(w) for w in words]
-    weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(g) for g in grams])
-    codes, at = np.unique(np.concatenate(grams), return_inverse=True)
-    return codes, np.bincount(at, weights).astype(np.int64)
+    c = np.frombuffer((MARK + MARK.join(words) + MARK).encode("utf-32-le"), np.uint32).astype(np.int64)
+    inner = c != ord(MARK)
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.diff(np.flatnonzero(~inner)))
+    two = (c[:-1] << CODE_BITS) | c[1:]
+    middle = inner[1:-1]  # a third with a mark in the middle would run over two words
+    three = ((two[:-1] << CODE_BITS) | c[2:])[middle]
+    own = inner[:-1]
+    codes = np.concatenate((c[:-1][own], two, three))
+    weights = np.concatenate((n[own], n, n[:-1][middle]))
+    order = np.argsort(codes)
+    codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(weights, first)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -112,16 +113,16 @@ class Classifier:
         return self.langs[best], 1 - float(far[best]) / (PROFILE * len(own))
 
 
-def predict(documents: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """documents with lang_pred and score, of the text alone; a column of either name is replaced."""
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    schema = documents.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+def predict(documents: DataFrame, profiles: dict[str, np.ndarray], lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """documents with the predicted language and its score, of the text alone; columns of their names are replaced."""
+    kept = [c for c in documents.columns if c not in (lang_col, score_col)]
+    schema = documents.select(*kept).schema.add(lang_col, "string").add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(profiles)
         for b in batches:
             found = [classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, lang_col, score_col])
 
     small_batches(documents.sparkSession)
     return documents.select(*kept).mapInArrow(run, schema)
