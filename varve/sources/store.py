@@ -220,7 +220,7 @@ class KVStore:
         """Write rows as one folder of files cut by key ranges; their metadata."""
         # a name of its own, so that a second writer, whose publishing will fail, harms nothing
         folder = f"{self.path}/runs/{self.version.next_file:06d}-{uuid.uuid4().hex[:12]}"
-        cut = mut.repartitionByRange(files, "key") if files else mut.repartitionByRange("key")
+        cut = mut.repartitionByRange(files or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "key")
         writer = cut.sortWithinPartitions("key", F.desc("seq")).write
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
@@ -310,8 +310,9 @@ class KVStore:
         return [(len(own), sum(f["file_size"] for f in own)) for own in (self.version.level(n) for n in range(LEVELS))]
 
     def level_over(self) -> int | None:
+        """The lowest level over its limit: of runs in level 0, of bytes in the others."""
         stats = self.level_file_stats()
-        if stats[0][0] >= self.options.l0_compaction_trigger:
+        if len({f["path"].rsplit("/", 1)[0] for f in self.version.level(0)}) >= self.options.l0_compaction_trigger:
             return 0
         return next((n for n in range(1, LEVELS - 1) if stats[n][1] > self.options.max_bytes_for_level_base * 10 ** (n - 1)), None)
 
