@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import functools
+import json
+import re
+import struct
 
 import numpy as np
 
 #: Pieces of text and words that a worker remembers before it forgets them all.
-PIECES, WORDS = 1 << 19, 1 << 20
+PIECES, WORDS = 1 << 18, 1 << 19
 #: Marks that end words, and that the tokenizer cuts off from letters.
 MARKS = ".,!?;:"
+#: Words that lower-casing and Unicode's composition leave letter by letter.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write the letters of PLAIN: each byte as the letter of that number, if it is printable there, else as one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def default_path() -> str:
@@ -47,18 +63,25 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.vocabulary = self.model.get_vocab_size()
+        spec = json.loads(self.model.to_str())
+        # a word of plain letters can go to the model at once if the steps before only lower-case, split and spell bytes
+        self.direct = '"Lowercase"' in json.dumps(spec["normalizer"]) and '"ByteLevel"' in json.dumps(spec["pre_tokenizer"]) and not spec["post_processor"]
+        self.words_model = self.model.model
         self.words = _Remembered(self._encoded, WORDS)
         self.pieces = _Remembered(self._made, PIECES)
 
     def _encoded(self, piece: str) -> bytes:
+        if self.direct and PLAIN.fullmatch(piece):
+            ids = [t.id for t in self.words_model.tokenize(piece.lower().translate(BYTE_LETTERS))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         return np.array(self.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if piece else b""
 
     def _made(self, piece: str) -> bytes:
         word = piece.rstrip(MARKS)
         if word == piece:
-            return self.words[piece.lower() if piece.isascii() and piece.isalpha() else piece]
+            return self.words[piece.lower() if PLAIN.fullmatch(piece) else piece]
         if word.isalpha():
-            return self.words[word.lower() if word.isascii() else word] + self.words[piece[len(word) :]]
+            return self.words[word.lower() if PLAIN.fullmatch(word) else word] + self.words[piece[len(word) :]]
         return self._encoded(piece)
 
     def __call__(self, text: str | None) -> bytes:
