@@ -363,6 +363,9 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     fewer bits than there are blocks share one for sure, and near copies that differ in more are very likely to. In a bucket
     the Hamming distance of one more word is verified. Buckets that are left with the same texts are merged, and in each
     the most similar pairs by a sketch of the shingles are chosen as a spanning forest and then compared in full.
+
+    Null texts are empty; texts without a word are alike, and texts of fewer words than a shingle are alike if all their
+    words are. Rows without an id take no part. Equal texts are one, with the smallest of their ids.
     """
     spark = documents.sparkSession
     small_batches(spark)
