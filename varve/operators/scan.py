@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ordering import key_bucket, neighbours, running
 from .visible import live
@@ -73,29 +74,30 @@ def ranked(df: DataFrame, key: str, name: str, descending: bool = False, width:
 
 
 def seek(keys: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets (target) with the first key at or after each.
-
-    Targets and keys are put in one order; the two levels of `neighbours` find the next key.
-    """
-    return _nearest(keys, targets, "next_key").select("target", F.col("found").alias("key"))
+    """targets (target) with the first key at or after each."""
+    return _nearest(keys, targets, True)
 
 
 def seek_before(keys: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (target) with the last key before each."""
-    return _nearest(keys, targets, "prev_key").select("target", F.col("found").alias("key"))
-
-
-def _nearest(keys: DataFrame, targets: DataFrame, side: str) -> DataFrame:
-    asked = targets.select("target").distinct()
-    there = neighbours(keys.select("key"), "key")
-    # the key itself, where the target is one; else the neighbour of the target among keys and targets
-    both = keys.select("key", F.lit(True).alias("is_key")).unionByName(asked.join(keys, asked["target"] == keys["key"], "left_anti").select(F.col("target").alias("key"), F.lit(False).alias("is_key")))
-    order = running(both, key_bucket("key"), [F.asc("key")], F.col("is_key").cast("int"), "before")
-    number = order.where("is_key").select(F.col("before").alias("nth"), F.col("key").alias("found"))
-    at = order.where("not is_key").select(F.col("key").alias("target"), (F.col("before") if side == "next_key" else F.col("before") - 1).alias("nth"))
-    apart = at.join(number, "nth", "left").select("target", "found")
-    exact = asked.join(there, asked["target"] == there["key"]).select("target", (F.col("key") if side == "next_key" else F.col("prev_key")).alias("found"))
-    return targets.join(exact.unionByName(apart), "target", "left")
+    return _nearest(keys, targets, False)
+
+
+def _nearest(keys: DataFrame, targets: DataFrame, forward: bool) -> DataFrame:
+    """Targets and keys in one order, a target before an equal key: the next or last key in the bucket, else in the other buckets."""
+    both = keys.select("key", F.lit(True).alias("is_key")).unionByName(targets.select(F.col("target").alias("key"), F.lit(False).alias("is_key")))
+    both = both.withColumn("bucket", key_bucket("key")).withColumn("found", F.when(F.col("is_key"), F.col("key")))
+    inside, over = Window.partitionBy("bucket").orderBy("key", "is_key"), Window.orderBy("bucket")
+    ends = both.groupBy(F.col("bucket").alias("of")).agg((F.min if forward else F.max)("found").alias("end"))
+    if forward:
+        near = F.first("found", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        far = F.first("end", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        near = F.last("found", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        far = F.last("end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    other = ends.withColumnRenamed("of", "bucket").withColumn("far", far).select(F.col("bucket").alias("of"), "far")
+    local = both.withColumn("near", near).where(~F.col("is_key"))
+    return local.join(other, F.col("bucket") == F.col("of")).select(F.col("key").alias("target"), F.coalesce("near", "far").alias("key"))
 
 
 def with_neighbours(mut: DataFrame, snapshot: int | None = None) -> DataFrame:
