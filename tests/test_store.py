@@ -227,3 +227,14 @@ def test_level_text(spark):
     files = spark.createDataFrame([(0, 1, 10, "a", "b"), (2, 2, 5, "a", "c")], "level int, file_no long, file_size long, smallest string, largest string")
     assert level_text(level_stats(files)).first()[0] == "L0:1f/10b|L1:0f/0b|L2:1f/5b|L3:0f/0b|L4:0f/0b|L5:0f/0b|L6:0f/0b"
     assert B.bloom_probes(1) == 1 and B.bloom_probes(100) == 30
+
+
+def test_comparator(spark, path):
+    """Scans in another order of keys; files are then not left out by their ranges."""
+    s = KVStore.open(spark, path, create_if_missing=True, comparator=lambda c: F.reverse(c.cast("string")))
+    for k in (b"a3", b"b1", b"c2"):
+        s.put(k, b"v")
+    s.flush()
+    assert [bytes(r["key"]) for r in s.scan().collect()] == [b"b1", b"c2", b"a3"]
+    assert [bytes(r["key"]) for r in s.scan(reverse=True).collect()] == [b"a3", b"c2", b"b1"]
+    assert s.get(b"c2") == b"v" and s.scan(b"b", b"c").count() == 1
