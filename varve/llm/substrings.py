@@ -12,7 +12,7 @@ a task's slice are merged before the shuffle, so copies and common passages send
 Resolving. Contexts are dealt by owner and sorted. A context alone with its owner is new. All but the first of equal
 contexts repeat as a whole. Owners with different contexts need the bytes: the first of each is read again.
 
-Index. Groups of such contexts, some MB together, are sorted into a Burrows-Wheeler transform, kept as runs: the
+Index. Groups of such contexts, about a MB together, are sorted into a Burrows-Wheeler transform, kept as runs: the
 runs' starts and characters, the rank of each run's first row, the text places sampled at run ends, and the rows where
 a match with the row before is shorter than LENGTH. Contexts are streamed through it from their last byte
 to their first, all at once, one step of the LF mapping each: a row's matching statistic says whether it matches
@@ -44,7 +44,7 @@ from .common import small_batches, table, written
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text whose windows are hashed at once, contexts of a slice, and bytes of contexts indexed together.
-TEXT, CONTEXTS, INDEXED = 1 << 20, 1 << 17, 1 << 21
+TEXT, CONTEXTS, INDEXED = 1 << 18, 1 << 17, 1 << 20
 #: Contexts of one owner from which they are compared by window.
 HOT = 1 << 15
 _RANDOM = np.random.default_rng(20240229)
@@ -61,14 +61,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
     """A hash of the GRAM (24) bytes from each place of x on, by doubling."""
-    h = [BYTE[x]]
+    sixteen, eight = BYTE[x], None
     for k in range(4):  # of 2, 4, 8 and 16 bytes
-        a = h[-1]
-        half = 1 << k
-        h.append(_mixed(a[:-half] * ODD[k] + a[half:]))
-        if k < 3:
-            h[0] = None if k else h[0]
-    sixteen, eight = h[4], h[3]
+        eight, half = sixteen, 1 << k
+        sixteen = _mixed(eight[:-half] * ODD[k] + eight[half:])
     n = len(x) - GRAM + 1
     return _mixed(sixteen[:n] * ODD[4] + eight[16 : 16 + n])
 
