@@ -6,7 +6,7 @@ over its n-grams, of how far each is out of place: the difference of ranks, or P
 it. The nearest language wins; ties go to the smaller name. The score is 1 - distance / greatest distance.
 
 Language profiles are fitted on `fit_documents` labelled documents of each language, those with the smallest
-hash of the id (rows of one id together): the same ones in every run. Only ids are sorted to find them. Their n-gram counts are summed by Spark; only the
+hash (equal rows together): the same ones in every run. Only hashes are sorted to find them, and few of those. Their n-gram counts are summed by Spark; only the
 profiles, PROFILE rows a language, come to the driver and go out to the tasks.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled text every
@@ -41,6 +41,10 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     They are taken of the different words, one after another with a mark before and after each, by how often each is there.
     """
     words = Counter(WORD.findall((text or "").lower()))
+    for w in [w for w in words if not w.isalpha()]:  # with signs such as a half or a raised two, which are no letters
+        n = words.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            words[part] += n
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer((MARK + MARK.join(words) + MARK).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -78,8 +82,10 @@ def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict[str, n
             for lang, (codes, counts) in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    labelled = documents.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("doc_id"))
-    slim = labelled.select("lang", "draw")
+    labelled = documents.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
+    # hashes are even, so four times the wanted part of them holds enough; only those are put in order
+    sizes = documents.where("lang is not null").groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))  # a row a language
+    slim = labelled.select("lang", "draw").join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("draw") / 2.0**64 + 0.5 <= 4 * fit_documents / F.col("n"))
     drawn = slim.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("at") <= fit_documents)
     upto = drawn.groupBy(F.col("lang").alias("of")).agg(F.max("draw").alias("upto"))  # a row a language
     chosen = labelled.join(F.broadcast(upto), (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("upto")))
