@@ -590,7 +590,7 @@ def test_pipeline(spark):
     import __spark_entry__
     import corpus_pipeline
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     given = spark.read.parquet(f"{SF}/documents.parquet")
     at = given
     for name, stage in corpus_pipeline.STAGES[:-1]:
