@@ -52,9 +52,32 @@ def overlap_islands(files: DataFrame) -> DataFrame:
 
 
 def read_amplification(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """How many files a lookup of each key may open."""
-    hits = candidates(keys, files).groupBy("key").agg(F.count("*").alias("n"))
-    return keys.join(hits, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n_files"))
+    """How many files a lookup of each key may open: ranges that have begun and not ended, by running sums in key order."""
+    begin = files.select(F.col("smallest").alias("key"), F.lit(0).alias("turn"), F.lit(1).alias("n"))
+    end = files.select(F.col("largest").alias("key"), F.lit(2).alias("turn"), F.lit(-1).alias("n"))
+    asked = keys.select("key", F.lit(1).alias("turn"), F.lit(0).alias("n"))
+    events = begin.unionByName(end).unionByName(asked)
+    open_ = running(events, key_bucket("key"), [F.asc("key"), F.asc("turn")], F.col("n"), "before")
+    return open_.where(F.col("turn") == 1).select("key", F.col("before").cast("long").alias("n_files"))
+
+
+def located(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, level, file_no): the file that may hold each key, in levels whose ranges are disjoint: the last one to begin, if it has not ended.
+
+    Found in one order of a level's files and the keys, inside key buckets and then over the buckets' last files.
+    """
+    levels = F.broadcast(files.select("level").distinct())  # seven rows at most
+    file = F.struct(F.col("smallest").alias("smallest"), F.col("largest").alias("largest"), F.col("file_no").alias("file_no"))
+    starts = files.select("level", F.col("smallest").alias("key"), F.lit(0).alias("probe"), file.alias("file"))
+    asked = keys.crossJoin(levels).select("level", "key", F.lit(1).alias("probe"), F.lit(None).cast(starts.schema["file"].dataType).alias("file"))
+    both = starts.unionByName(asked).withColumn("bucket", key_bucket("key"))
+    inside = Window.partitionBy("level", "bucket").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy(F.col("level").alias("of_level"), F.col("bucket").alias("of")).agg(F.max("file").alias("end"))
+    before = Window.partitionBy("of_level").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    other = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).drop("end")
+    near = both.withColumn("near", F.last("file", ignorenulls=True).over(inside)).where("probe = 1")
+    found = near.join(other, (F.col("level") == F.col("of_level")) & (F.col("bucket") == F.col("of"))).withColumn("found", F.coalesce("near", "far"))
+    return found.where("found.largest >= key").select("key", "level", "found.file_no")
 
 
 def _newest(mut: DataFrame) -> DataFrame:

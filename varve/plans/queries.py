@@ -571,7 +571,7 @@ def _(spark, d):
 def _(spark, d):
     n = F.col("p_partkey")
     files = table(spark, d, "part").select((1 + n % 3).cast("int").alias("level"), n.alias("file_no"), fixed_width(n).alias("smallest"), fixed_width(n + 1).alias("largest"))
-    return lsm.candidates(_asked(spark, d), files).select("key", "level", "file_no")
+    return lsm.located(_asked(spark, d), files)
 
 
 @query(
