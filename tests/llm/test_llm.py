@@ -423,6 +423,23 @@ def test_near_copies(spark):
     assert kept == set(want.values())
 
 
+def test_near_copies_around_a_hub(spark):
+    """More than FEW variants that link to a common original, with the largest id, and mostly not to each other."""
+    rng = random.Random(13)
+    base = rng.sample([f"w{i}x" for i in range(1000)], 120)
+    spots = [(i, j) for i in range(5, 114) for j in range(i + 7, 114)]
+    rows = []
+    for i, j in rng.sample(spots, simhash.FEW + 100):
+        w = list(base)
+        for at in (i, j):
+            w[at], w[at + 1] = w[at + 1], w[at]
+        rows.append((len(rows), " ".join(w), None, None))
+    rows.append((len(rows), " ".join(base), None, None))
+    sets = [set(simhash.shingles(r[1].encode(), 5)) for r in (rows[0], rows[-1])]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    assert [r["doc_id"] for r in simhash.one_of_each(docs(spark, rows, extra=False)).collect()] == [0]
+
+
 def test_one_of_each_odd(spark, odd_rows):
     out = simhash.one_of_each(docs(spark, odd_rows))
     assert out.columns == docs(spark, odd_rows).columns

@@ -199,9 +199,11 @@ WORDS = BLOCKS * BLOCK_BITS // 64 + 1
 #: Bits of the 64 of the first check that near copies may differ in: texts of a similarity of 0.8 differ in 9 or so, others in 32.
 CHECK = 18
 #: How far under the wanted similarity a sketch's estimate may lie for a pair to be compared in full.
-MARGIN = 0.15
-#: Texts of a bucket among which the strongest links are sought; in larger ones, links to a few texts that reach the others.
+MARGIN = 0.25
+#: A bucket of more texts has its first text compared with all others before all are compared with each other.
 FEW = 4096
+#: Partners that a text is compared with in the first round, and how many times as many in each next one.
+MOST, MORE = 4, 8
 TURNS = np.random.default_rng(64).integers(1, 1 << 63, max(WORDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -283,57 +285,45 @@ def _close_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sets(*held)
 
 
-def strongest(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest by the most similar pairs of at least `least`; links by way of few texts where there are more than FEW."""
-    n, edges = len(sketches), []
-    if n <= FEW:
-        left, best, of = np.arange(1, n), np.full(n, -1.0), np.zeros(n, np.int64)
-        x = 0
-        while len(left):
-            like = (sketches[left] == sketches[x]).mean(axis=1)
-            better = like > best[left]
-            best[left[better]], of[left[better]] = like[better], x
-            x = int(left[best[left].argmax()])
-            if best[x] >= least:
-                edges.append((int(of[x]), x))
-            left = left[left != x]
-        return edges
-    left = np.arange(n)
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop(0)
-            near = (sketches[left] == sketches[x]).mean(axis=1) >= least
-            edges += [(x, y) for y in left[near].tolist()]
-            queue += left[near].tolist()
-            left = left[~near]
-    return edges
-
+def proposals(label: np.ndarray, sketches: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions of pairs of different labels whose sketches agree in a part of at least `least`, and whether there are more.
 
-def _strong_links(least: float):
+    Of each text, its `most` strongest ones; the texts of the largest label need not seek, as the others find them. In a
+    bucket of more than FEW texts without any link so far, those of its first text: they leave few labels in most.
+    """
+    names, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    star = len(label) > FEW and len(names) == len(label)
+    us, vs, more = [], [], star
+    for x in [0] if star else np.flatnonzero(of != sizes.argmax()).tolist():
+        like = np.bitwise_count((sketches == sketches[x]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((like >= least * sketches.shape[1]) & (of != of[x]))
+        if len(near) > most and not star:
+            near, more = near[np.argpartition(-like[near], most)[:most]], True
+        us.append(np.full(len(near), x))
+        vs.append(near)
+    return np.concatenate(us or [np.zeros(0, np.int64)]), np.concatenate(vs or [np.zeros(0, np.int64)]), more
+
+
+def _proposed(least: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of (bucket, node, sketch) sorted by bucket."""
-        at, nodes, held = None, [], []
-
-        def found() -> list[tuple[int, int]]:
-            if len(nodes) < 2:
-                return []
-            edges = strongest(np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1), least)
-            return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in edges]
+        """Batches of (bucket, node, label, sketch) sorted by bucket and node."""
+        at, nodes, labels, held = None, [], [], []
 
-        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                x, y, more = proposals(np.array(labels), np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1), least, most)
+                own = np.array(nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own[x], own[y])), pa.array(np.minimum(own[x], own[y])), pa.array(np.full(len(x), more))], names=["u", "v", "more"])
 
         for b in batches:
-            out = []
-            for bucket, node, sketched in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, node, label, sketched in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != at:
-                    out += found()
-                    at, nodes, held = bucket, [], []
+                    yield from found()
+                    at, nodes, labels, held = bucket, [], [], []
                 nodes.append(node)
+                labels.append(label)
                 held.append(sketched)
-            yield batch(out)
-        yield batch(found())
+        yield from found()
 
     return run
 
@@ -355,6 +345,31 @@ def _confirmed(width: int, similarity: float):
     return run
 
 
+def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, component) of the links inside the buckets of `sets` (bucket, node).
+
+    In rounds: texts of a bucket that are not in one component yet are compared in full with their strongest partners of
+    other components, and with MORE times as many in the next round, until every such pair has been compared.
+    """
+    left, tested, links, most = sets.withColumn("label", F.col("node")), None, None, MOST
+    while True:
+        full = left.join(sketches, "node").select("bucket", "node", "label", "sketch")
+        full = full.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_proposed(similarity - MARGIN, most), "u long, v long, more boolean")
+        pairs = written(full.where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
+        new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+        xy = new.select("u", "v").join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+        hits = written(xy.mapInArrow(_confirmed(width, similarity), "u long, v long"), "links")
+        links = hits if links is None else links.unionByName(hits)
+        found = components(links)
+        if pairs.where("more").isEmpty():
+            return found
+        tested = pairs.select("u", "v") if tested is None else tested.unionByName(new.select("u", "v"))
+        found = written(found, "found")
+        left = sets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        open_ = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+        left, most = left.join(open_, "bucket"), most * MORE
+
+
 def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_hash, text_hash2, component_id): the near-duplicate groups of different texts, by their two hashes; component_id is the smallest doc_id of a group.
 
@@ -362,7 +377,8 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     come from wide fingerprints, of the texts' different words, in BLOCKS blocks of BLOCK_BITS bits: two that differ in
     fewer bits than there are blocks share one for sure, and near copies that differ in more are very likely to. In a bucket
     the Hamming distance of one more word is verified. Buckets that are left with the same texts are merged, and in each
-    the most similar pairs by a sketch of the shingles are chosen as a spanning forest and then compared in full.
+    texts are compared in full with those that a sketch of the shingles finds alike, the most similar ones first, until
+    they are in one component or no pair is left.
 
     Null texts are empty; texts without a word are alike, and texts of fewer words than a shingle are alike if all their
     words are. Rows without an id take no part. Equal texts are one, with the smallest of their ids.
@@ -386,12 +402,9 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, keys array<long>, check long, sketch binary"), "signed")
     rows = signed.select(F.explode("keys").alias("key"), "node", "check")
     sets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_close_sets, "bucket long, node long").distinct()
-    full = sets.join(signed.select("node", "sketch"), "node").select("bucket", "node", "sketch")
-    edges = full.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_strong_links(similarity - MARGIN), "u long, v long")
-    edges = written(edges.where("u <> v").distinct(), "candidates")
+    sets = written(sets, "sets")
     text = stand.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    full = edges.join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
-    found = components(full.mapInArrow(_confirmed(width, similarity), "u long, v long"))
+    found = _linked(sets, signed.select("node", "sketch"), text, width, similarity)
     return texts.join(found, "node", "left").select("text_hash", "text_hash2", F.coalesce("component", "node").alias("component_id"))
 
 
