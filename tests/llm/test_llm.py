@@ -440,6 +440,30 @@ def test_near_copies_around_a_hub(spark):
     assert [r["doc_id"] for r in simhash.one_of_each(docs(spark, rows, extra=False)).collect()] == [0]
 
 
+def test_near_copies_by_passages(spark):
+    """Pairs of a similarity of 0.80 to 0.85 by a passage added or replaced: all are found, and none under 0.8."""
+    rng = random.Random(17)
+    rows, linked = [], 0
+    for n in range(360):
+        a = words(rng, rng.randrange(80, 400), 100000).split()
+        m = len(a)
+        if n % 3 == 0:
+            b = a + words(rng, round(m * rng.uniform(0.19, 0.26)), 100000).split()
+        elif n % 3 == 1:
+            k = round(m * rng.uniform(0.09, 0.125))
+            b = a[:-k] + words(rng, k, 100000).split()
+        else:
+            at = rng.randrange(m)
+            b = a[:at] + words(rng, round(m * rng.uniform(0.17, 0.24)), 100000).split() + a[at:]
+        rows += [(2 * n, " ".join(a), None, None), (2 * n + 1, " ".join(b), None, None)]
+        x, y = (set(simhash.shingles(r[1].encode(), 5)) for r in rows[-2:])
+        linked += len(x & y) >= 0.8 * len(x | y)
+    assert 100 < linked < 350
+    sets = {r[0]: set(simhash.shingles(r[1].encode(), 5)) for r in rows}
+    want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows, extra=False)).collect()} == set(want.values())
+
+
 def test_one_of_each_odd(spark, odd_rows):
     out = simhash.one_of_each(docs(spark, odd_rows))
     assert out.columns == docs(spark, odd_rows).columns

@@ -20,6 +20,7 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,19 +193,19 @@ def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 3, id_
     return docs.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Blocks of a wide fingerprint and their bits, and the least hashes in a sketch of shingles.
-BLOCKS, BLOCK_BITS, MINIMA = 64, 24, 128
-#: Words of 64 bits: those that hold the blocks, and one more for a first check.
-WORDS = BLOCKS * BLOCK_BITS // 64 + 1
-#: Bits of the 64 of the first check that near copies may differ in: texts of a similarity of 0.8 differ in 9 or so, others in 32.
-CHECK = 18
+#: Least hashes in a sketch of shingles.
+MINIMA = 128
+#: One of so many texts is drawn for the counts of shingles, and a shingle is frequent from so many of them; at most so many frequent ones.
+DRAWN, FREQUENT, MOST_FREQUENT = 16, 8, 1 << 20
 #: How far under the wanted similarity a sketch's estimate may lie for a pair to be compared in full.
 MARGIN = 0.25
+#: Rows of an Arrow batch with two texts each.
+PAIR_ROWS = 64
 #: A bucket of more texts has its first text compared with all others before all are compared with each other.
 FEW = 4096
 #: Partners that a text is compared with in the first round, and how many times as many in each next one.
-MOST, MORE = 4, 8
-TURNS = np.random.default_rng(64).integers(1, 1 << 63, max(WORDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MOST, MORE = 1, 64
+TURNS = np.random.default_rng(64).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -217,29 +218,26 @@ def _hashes(items: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, SEED) for x in items], np.uint64)
 
 
-def wide_fingerprint(text: bytes | None) -> np.ndarray:
-    """WORDS words of 64 bits: of each, a bit is set if over half of the text's different words have it in a hash of their own for that word."""
-    words = sorted(set((text or b"").lower().split()))
-    if not words:
-        return np.zeros(WORDS, np.uint64)
-    h, n = _hashes(words), np.zeros(64 * WORDS, np.int64)
-    for a in range(0, len(h), SLICE // 16):
-        x = h[a : a + SLICE // 16, None] * TURNS[None, :WORDS]
-        x ^= x >> np.uint64(32)
-        x *= TURNS[None, :WORDS]
-        n += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * n > len(h), bitorder="little").view(np.uint64)
+def hashed(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending."""
+    return np.unique(_hashes(shingles(text, width)))
 
 
-def blocks(fingerprint: np.ndarray) -> np.ndarray:
-    """The blocks of a wide fingerprint as keys: the number of the block, then its bits."""
-    each = fingerprint[:-1].view(np.uint8).reshape(BLOCKS, BLOCK_BITS // 8).astype(np.int64)
-    return (np.arange(BLOCKS) << BLOCK_BITS) | (each << (8 * np.arange(BLOCK_BITS // 8))).sum(axis=1)
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Keys of the first shingles of a text, the rare ones first: two texts of at least `similarity` have one in common.
+
+    A key has the rank of a frequent shingle (0 of any other) in its top 6 bits, then the hash.
+    """
+    keys = hashes >> np.uint64(6)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        keys |= np.where(frequent[at] == hashes, ranks[at], np.uint64(0)) << np.uint64(58)
+    keys.sort()
+    return keys[: len(keys) - math.ceil(similarity * len(keys) - 1e-6) + 1]
 
 
-def sketch(text: bytes | None, width: int) -> bytes:
-    """16 bits of each of MINIMA least hashes of the text's shingles."""
-    h = np.unique(_hashes(shingles(text, width)))
+def sketch(h: np.ndarray) -> bytes:
+    """16 bits of each of MINIMA least hashes of a text's shingles."""
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(h), SLICE // 16):
         x = h[a : a + SLICE // 16, None] * TURNS[None, :MINIMA]
@@ -248,41 +246,48 @@ def sketch(text: bytes | None, width: int) -> bytes:
     return (least * TURNS[0] >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def _close_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, node, check) sorted by key: the texts of each bucket with another near by, as (hash of the set, node)."""
+def _close_sets(similarity: float):
     mixed = lambda x: (x ^ (x >> np.uint64(31))) * TURNS[1]
 
-    def sets(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+    def may_link(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray) -> np.ndarray:
+        """Whether texts of n and n2 shingles can reach the similarity if their first common ones are at these places."""
+        return np.minimum(n - at, n2 - at2) >= similarity / (1 + similarity) * (n + n2) - 1e-6
+
+    def sets(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         two = start[size == 2]
-        two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= CHECK]
+        two = two[may_link(n[two], at[two], n[two + 1], at[two + 1])]
         a, b = np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])
         name = (mixed(mixed(a.view(np.uint64)) + b.view(np.uint64))).view(np.int64)
         out = [(name, a), (name, b)]
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own, bits = node[s : s + n], check[s : s + n]
-            if n <= FEW:
-                near = [(np.bitwise_count(bits[a : a + 256, None] ^ bits[None, :]) <= CHECK).sum(axis=1) > 1 for a in range(0, n, 256)]
-                own = np.sort(own[np.concatenate(near)])
+        for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own, k, i = node[s : s + m], n[s : s + m], at[s : s + m]
+            if m <= FEW:
+                near = [may_link(k[a : a + 256, None], i[a : a + 256, None], k[None, :], i[None, :]).sum(axis=1) > may_link(k[a : a + 256], i[a : a + 256], k[a : a + 256], i[a : a + 256]) for a in range(0, m, 256)]
+                own = own[np.concatenate(near)]
             if len(own) > 1:
+                own = np.sort(own)
                 out.append((np.full(len(own), xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), np.int64), own))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["bucket", "node"])
 
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        cols[2] = cols[2].view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (key, node, n, at) sorted by key: the texts of each bucket with another that may link, as (hash of the set, node)."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield sets(*(c[:cut] for c in cols))
         if held:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield sets(*(c[:cut] for c in cols))
-    if held:
-        yield sets(*held)
+            yield sets(*held)
+
+    return run
 
 
 def proposals(label: np.ndarray, sketches: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -332,10 +337,10 @@ def _confirmed(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, last, own = [], None, set()
-            for i, (u, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if u != last:
-                    last, own = u, set(shingles(x, width))
-                other = set(shingles(y, width))
+            for i, v in enumerate(b.column(1).to_pylist()):
+                if v != last:
+                    last, own = v, set(shingles(b.column(3)[i].as_py(), width))
+                other = set(shingles(b.column(2)[i].as_py(), width))
                 both = len(own & other)
                 if both >= similarity * (len(own) + len(other) - both):
                     kept.append(i)
@@ -358,7 +363,9 @@ def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, s
         pairs = written(full.where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
         new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         xy = new.select("u", "v").join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+        small_batches(text.sparkSession, PAIR_ROWS)
         hits = written(xy.mapInArrow(_confirmed(width, similarity), "u long, v long"), "links")
+        small_batches(text.sparkSession)
         links = hits if links is None else links.unionByName(hits)
         found = components(links)
         if pairs.where("more").isEmpty():
@@ -373,11 +380,10 @@ def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, s
 def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_hash, text_hash2, component_id): the near-duplicate groups of different texts, by their two hashes; component_id is the smallest doc_id of a group.
 
-    Texts link if their shingles of `width` words have a Jaccard similarity of `similarity` or more. Candidates
-    come from wide fingerprints, of the texts' different words, in BLOCKS blocks of BLOCK_BITS bits: two that differ in
-    fewer bits than there are blocks share one for sure, and near copies that differ in more are very likely to. In a bucket
-    the Hamming distance of one more word is verified. Buckets that are left with the same texts are merged, and in each
-    texts are compared in full with those that a sketch of the shingles finds alike, the most similar ones first, until
+    Texts link if their shingles of `width` words have a Jaccard similarity of `similarity` or more. Candidates are all
+    pairs with a common shingle among the first of each, rare ones first: as many that a pair without one can't reach the
+    similarity. Where the common one stands in both bounds what they can reach. Buckets with the same texts are merged, and in
+    each texts are compared in full with those that a sketch of the shingles finds alike, the most similar ones first, until
     they are in one component or no pair is left.
 
     Null texts are empty; texts without a word are alike, and texts of fewer words than a shingle are alike if all their
@@ -391,20 +397,31 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     # a text's smallest id stands for it
     stand = slim.select("doc_id", "text", *hashes).join(texts.select(F.col("node").alias("doc_id"), "text_hash", "text_hash2"), ["doc_id", "text_hash", "text_hash2"]).dropDuplicates(["doc_id", "text_hash", "text_hash2"])
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.concatenate([np.zeros(0, np.uint64), *(hashed(t, width) for t in b.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    # the order only saves work: pairs are found in any that is the same for all texts
+    some = slim.select("text", hashes[0]).where(F.pmod("text_hash", F.lit(DRAWN)) == 0).dropDuplicates(["text_hash"])
+    counts = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(draw, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    frequent = often.column("h").to_numpy().view(np.uint64)
+    by_hash = np.argsort(frequent)
+    frequent, ranks = frequent[by_hash], np.log2(often.column("n").to_numpy()[by_hash]).astype(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = b.column(1).to_pylist()
-            wide = [wide_fingerprint(t) for t in found]
-            keys = [blocks(w) for w in wide]
-            check = np.array([w[-1] for w in wide], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(check, pa.int64()), pa.array([sketch(t, width) for t in found], pa.binary())], names=["node", "keys", "check", "sketch"])
-
-    signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, keys array<long>, check long, sketch binary"), "signed")
-    rows = signed.select(F.explode("keys").alias("key"), "node", "check")
-    sets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_close_sets, "bucket long, node long").distinct()
+            every = [hashed(t, width) for t in b.column(1).to_pylist()]
+            keys = [prefix(h, similarity, frequent, ranks).view(np.int64) for h in every]
+            n = pa.array([len(h) for h in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array(keys, pa.list_(pa.int64())), pa.array([sketch(h) for h in every], pa.binary())], names=["node", "text", "n", "keys", "sketch"])
+
+    signed = written(stand.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, text binary, n long, keys array<long>, sketch binary"), "signed")
+    rows = signed.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", F.col("at").cast("long").alias("at"))
+    sets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_close_sets(similarity), "bucket long, node long").distinct()
     sets = written(sets, "sets")
-    text = stand.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    found = _linked(sets, signed.select("node", "sketch"), text, width, similarity)
+    found = _linked(sets, signed.select("node", "sketch"), signed.select(F.col("node").alias("id"), "text"), width, similarity)
     return texts.join(found, "node", "left").select("text_hash", "text_hash2", F.coalesce("component", "node").alias("component_id"))
 
 
