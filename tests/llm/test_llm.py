@@ -645,6 +645,24 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in at.collect()}
 
 
+def test_pipeline_rejects_languages_without_labels(spark):
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    learned = [r for r in given.where("lang is not null").collect() if len(r["text"].split()) > 4]
+    other = [
+        "Tämä on suomenkielinen lause, jonka tarkoitus on kertoa jotakin tavallisesta päivästä kaupungissa ja sen ihmisistä.",
+        "To jest zwykłe zdanie napisane po polsku, które opowiada o zwyczajnym dniu w mieście i jego mieszkańcach.",
+        "Ez egy magyar mondat, amely egy hétköznapi napról szól a városban.",
+        "zxq vbn kjh wqr " * 20,
+    ]
+    short = [" ".join(r["text"].split()[:n]) for r in learned[:20] for n in (2, 3) if all(w.isalpha() for w in r["text"].split()[:n])]
+    rows = [(10**9 + i, t, None, "a", len(t)) for i, t in enumerate([*other, *short])]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, given.unionByName(spark.createDataFrame(rows, given.schema)), SF).collect()}
+    assert not kept & {10**9 + i for i in range(len(other))}
+    assert {10**9 + len(other) + i for i in range(len(short))} <= kept and {r["doc_id"] for r in learned} <= kept
+
+
 def test_pipeline_on_odd_rows(spark, odd_rows):
     import corpus_pipeline
 
