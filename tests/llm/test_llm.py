@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from varve.llm import chat, langid, linededup, media, mixing, packing, simhash, substrings, tokencounts, topk
+from varve.llm import chat, common, langid, linededup, media, mixing, packing, simhash, substrings, tokencounts, topk
 from varve.llm.tokens import WordTokenizer, default_path
 
 SF = "/root/testdata/sf0.001"
@@ -326,6 +326,26 @@ def test_media(spark, odd_rows):
     assert media.media_columns(docs(spark, odd_rows).limit(0)).count() == 0
 
 
+def test_media_query_stores_the_media(spark, monkeypatch):
+    stored = []
+
+    def keep(df, name):
+        stored.append(common.written(df, name))
+        return stored[-1]
+
+    monkeypatch.setattr(media, "written", keep, raising=False)
+    got = {r["doc_id"]: r for r in media.op5_media_columns(spark, SF).collect()}
+    assert len(stored) == 1
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = stored[0].collect()
+    assert len(rows) == len(texts) == len(got)
+    for r in rows:
+        back, data = media.from_wav(bytes(r["media"])), (texts[r["doc_id"]] or "").encode()
+        assert back == media.padded(data) and hashlib.sha256(bytes(r["media"])).hexdigest() == got[r["doc_id"]]["media_sha256"]
+        feature = " ".join(f"{a}:{c}" for a, c in media.pairs(media.peaks(back)))
+        assert feature == got[r["doc_id"]]["feature"] and len(data) == got[r["doc_id"]]["n_bytes"]
+
+
 def test_peaks_find_tones(tmp_path):
     n, hz = 4096, 1000
     tone = (128 + 100 * np.sin(2 * np.pi * hz * np.arange(n) / media.RATE)).astype(np.uint8).tobytes()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 RATE, UNIT = 8000, 64
 WINDOW, HOP, FAN, LOWEST = 256, 128, 2, 2
@@ -82,29 +82,46 @@ def pairs(bins: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[order].tolist(), code[order].tolist(), strict=True))
 
 
-def media_columns(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, fingerprint array, media)."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("code", pa.int32())])), pa.binary()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
+def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each text as a WAV."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    small_batches(documents.sparkSession)
+    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
-    def row(data: bytes) -> tuple:
-        media = to_wav(padded(data))
+
+def described(media: DataFrame, keep_media: bool = True) -> DataFrame:
+    """What media_columns gives, all of it from the bytes of (doc_id, n_bytes, media)."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("code", pa.int32())])), pa.binary()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
+
+    def row(media: bytes) -> tuple:
         back = from_wav(media)
         found = [{"at": a, "code": c} for a, c in pairs(peaks(back))]
-        return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), found, media if keep_media else None
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), found, media if keep_media else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [row(t or b"") for t in b.column(1).to_pylist()]
-            columns = zip(*out, strict=True) if out else [[]] * (len(kinds) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds[1:], strict=True))], names=names)
+            out = [row(m) for m in b.column(2).to_pylist()]
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
-    small_batches(documents.sparkSession)
-    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<struct<at: int, code: int>>, media binary")
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<struct<at: int, code: int>>, media binary")
+
+
+def media_columns(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, fingerprint array, media)."""
+    return described(encoded(documents, id_col, text_col), keep_media)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_columns(table(spark, sf_dir, "documents"), keep_media=False)
+    # stored, then read again: nothing below has seen the texts
+    out = described(written(encoded(table(spark, sf_dir, "documents")), "media"), keep_media=False)
     feature = F.array_join(F.transform("fingerprint", lambda p: F.concat_ws(":", p["at"].cast("string"), p["code"].cast("string"))), " ")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
