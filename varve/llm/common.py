@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch sent to a Python worker; texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to a Python worker; texts can be long, and one over the bytes is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+ROWS_SETTING, BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds of long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of long texts at once.
+
+    Plans that are returned run later, so the session's bounds are lowered for good where they are wider: to the same values by all operators.
+    """
+    for setting, most in ((ROWS_SETTING, BATCH_ROWS), (BYTES_SETTING, BATCH_BYTES)):
+        now = spark.conf.get(setting).removesuffix("b")  # a size in bytes ends in it
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(setting, str(most))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for what runs inside."""
+    before = spark.conf.get(ROWS_SETTING)
+    spark.conf.set(ROWS_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_SETTING, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all runs on one machine."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="varve-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table, written
+from .common import batches_of, fresh, small_batches, table, written
 
 SEED = 42
 #: A bucket of more fingerprints is cut by a further block.
@@ -363,9 +363,8 @@ def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, s
         pairs = written(full.where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
         new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         xy = new.select("u", "v").join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
-        small_batches(text.sparkSession, PAIR_ROWS)
-        hits = written(xy.mapInArrow(_confirmed(width, similarity), "u long, v long"), "links")
-        small_batches(text.sparkSession)
+        with batches_of(text.sparkSession, PAIR_ROWS):
+            hits = written(xy.mapInArrow(_confirmed(width, similarity), "u long, v long"), "links")
         links = hits if links is None else links.unionByName(hits)
         found = components(links)
         if pairs.where("more").isEmpty():
