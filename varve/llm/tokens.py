@@ -80,8 +80,8 @@ class WordTokenizer:
         word = piece.rstrip(MARKS)
         if word == piece:
             return self.words[piece.lower() if PLAIN.fullmatch(piece) else piece]
-        if word.isalpha():
-            return self.words[word.lower() if PLAIN.fullmatch(word) else word] + self.words[piece[len(word) :]]
+        if PLAIN.fullmatch(word):  # other letters may end in a combining mark once they are lower-cased or composed, which goes with MARKS
+            return self.words[word.lower()] + self.words[piece[len(word) :]]
         return self._encoded(piece)
 
     def __call__(self, text: str | None) -> bytes:
