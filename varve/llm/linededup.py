@@ -6,8 +6,11 @@ The positions that later occurrences cover are merged, and those lines are remov
 order. Windows are judged on the input, not on what is left.
 
 The first place of each window is a partial aggregate, so a passage that a third of all documents share sends
-one row from each task; the join that finds the later occurrences has one row a window on its other side, and
-AQE splits its hot keys.
+one row from each task. Only windows that repeat are kept of these. The HOT most frequent ones at most, those with
+more than one in HOT of all repeated places, are broadcast to the places; the others are dealt by window, and no one of them has more
+than that part of the places. Places with a hot window are dealt by document, as they are settled already.
+
+A very long text is one row; its covered lines are found by hashed sets, in time proportional to its lines.
 
 Defined results: a null text stays null, with 0 lines; an empty text has one empty line; texts of fewer lines
 than a window stay whole; rows of equal doc_id are places at the same document, so equal rows are not earlier
@@ -20,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, table, written
 
 WIDTH = 3
+#: Windows that are broadcast at most, 50 bytes each.
+HOT = 1 << 14
 
 
 def _lines(text: Column) -> Column:
@@ -39,29 +44,38 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, id_col: str = "do
     slim = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= width)
     each = slim.select("doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - width), lambda i: window(i, F.col("lines")))).alias("w"))
     places = each.select("doc_id", "text_hash", F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.col("w.g").alias("g"))
-    first = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first < last").select("h", "g", "first")
-    return places.join(first, ["h", "g"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "text_hash", "at")
+    repeated = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"), F.count("*").alias("n"))
+    repeated = written(repeated.where("first < last").select("h", "g", "first", "n"), "windows")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > total / HOT  # fewer than HOT windows can have as many
+    hot = F.broadcast(repeated.where(is_hot).select("h", "g", F.col("first").alias("hot_first")))
+    salt = F.when(F.col("hot_first").isNotNull(), F.xxhash64("doc_id", "text_hash", "at")).otherwise(0)
+    cold = repeated.where(~is_hot).select("h", "g", F.lit(0).cast("long").alias("salt"), "first")
+    found = places.join(hot, ["h", "g"], "left").withColumn("salt", salt).join(cold, ["h", "g", "salt"], "left")
+    return found.where(F.struct("doc_id", "at") > F.coalesce("hot_first", "first")).select("doc_id", "text_hash", "at")
+
+
+def lines_at(lines: Column, stay: Column) -> Column:
+    """The lines at these places; the lines are cut once."""
+    return F.flatten(F.transform(F.array(lines), lambda own: F.transform(stay, lambda i: F.get(own, i))))
 
 
 def line_dedup(documents: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", counts_col: str = "line_dedup") -> DataFrame:
     """documents with `text_col` cut down to the lines kept, and (n_lines, n_removed) as a struct column `counts_col`."""
     id_, hash_, at = fresh(documents, "id", "hash", "at")
     later = repeated_windows(documents, width, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats"))
-    later = later.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.map_from_arrays("ats", F.transform("ats", lambda _: F.lit(True))).alias(at))
+    later = later.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("ats").alias(at))
     doc = documents.join(later, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_)), "left")
     lines = _lines(F.col(text_col))
 
-    def kept(i: Column) -> Column:
-        covered = F.lit(False)
-        for k in range(width):
-            covered = covered | F.map_contains_key(at, i - k)
-        return ~covered
+    covered = F.flatten(F.transform(at, lambda i: F.sequence(i, i + width - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)  # by a hashed set, in order
 
     whole = F.col(at).isNull()
-    left = F.when(whole, lines).otherwise(F.filter(lines, lambda _, i: kept(i)))
+    left = F.when(whole, lines).otherwise(lines_at(lines, stay))
     none = F.col(text_col).isNull()
     n = F.when(none, 0).otherwise(F.size(lines)).cast("long")
-    removed = F.when(none | whole, 0).otherwise(F.size(lines) - F.size(left)).cast("long")
+    removed = F.when(none | whole, 0).otherwise(F.size(lines) - F.size(stay)).cast("long")
     text = F.when(whole, F.col(text_col)).otherwise(F.array_join(left, "\n"))
     kept_columns = [text.alias(c) if c == text_col else F.col(c) for c in documents.columns if c != counts_col]
     return doc.select(*kept_columns, F.struct(n.alias("n_lines"), removed.alias("n_removed")).alias(counts_col))
