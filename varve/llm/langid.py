@@ -5,13 +5,14 @@ before and after). A document's profile is taken over its whole text. Its distan
 over its n-grams, of how far each is out of place: the difference of ranks, or PROFILE if the language lacks
 it. The nearest language wins; ties go to the smaller name. The score is 1 - distance / greatest distance.
 
-Language profiles are fitted on `fit_documents` labelled documents of each language, those with the smallest
-hash (equal rows together): the same ones in every run. Only hashes are sorted to find them, and few of those. Their n-gram counts are summed by Spark; only the
-profiles, PROFILE rows a language, come to the driver and go out to the tasks.
+Language profiles are fitted on `fit_documents` different labelled documents of each language, those with the smallest
+hash: the same ones in every run. Equal rows count once. Only hashes are sorted to find them, and few of those. The
+`languages` labels with the most rows are learned. Their n-gram counts are summed by Spark; only the profiles, PROFILE rows a
+language, come to the driver and go out to the tasks.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled text every
 document is; a null label is not learned from; repeated rows all get their result; an empty table gives an
-empty result. Very long texts are counted in full; other columns are not read, whatever their names.
+empty result. Very long texts are counted in full, each by itself in a task's memory; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql.window import Window
 from .common import small_batches, table
 
 PROFILE = 300
-FIT_DOCUMENTS = 2000
+#: What the profiles are fitted on: documents a language, and languages. These bound what is sorted, broadcast and collected.
+FIT_DOCUMENTS, LANGUAGES = 2000, 1024
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MARK, CODE_BITS = "_", 21
@@ -67,7 +69,22 @@ def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:PROFILE]]
 
 
-def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict[str, np.ndarray]:
+def drawn(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, text) of the documents that profiles are fitted on."""
+    labelled = documents.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
+    # hashes are even, so four times the wanted part of the different ones holds enough; only those are put in order
+    sizes = labelled.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"), F.approx_count_distinct("draw").alias("n"))
+    sizes = F.broadcast(sizes.orderBy(F.desc("rows"), "of").limit(languages))  # as many rows at most
+    slim = labelled.select("lang", "draw").join(sizes, F.col("lang") == F.col("of")).where(F.col("draw") / 2.0**64 + 0.5 <= 4 * fit_documents / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("draw")
+    upto = slim.select("lang", "draw").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= fit_documents)
+    upto = F.broadcast(upto.groupBy(F.col("lang").alias("of")).agg(F.max("draw").alias("upto")))  # a row a language
+    chosen = labelled.join(upto, (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("upto")))
+    # equal rows are one: their partial aggregates are
+    return chosen.groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
     """Language profiles of labelled documents (doc_id, text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +99,8 @@ def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict[str, n
             for lang, (codes, counts) in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    labelled = documents.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
-    # hashes are even, so four times the wanted part of them holds enough; only those are put in order
-    sizes = documents.where("lang is not null").groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))  # a row a language
-    slim = labelled.select("lang", "draw").join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("draw") / 2.0**64 + 0.5 <= 4 * fit_documents / F.col("n"))
-    drawn = slim.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("at") <= fit_documents)
-    upto = drawn.groupBy(F.col("lang").alias("of")).agg(F.max("draw").alias("upto"))  # a row a language
-    chosen = labelled.join(F.broadcast(upto), (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("upto")))
-    counts = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    small_batches(documents.sparkSession)
+    counts = drawn(documents, fit_documents, languages).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("at") <= PROFILE)
     profiles: dict[str, list[tuple[int, int]]] = {}
     for r in top.select("lang", "at", "gram").collect():  # PROFILE rows a language
@@ -140,7 +151,6 @@ def held_out(doc_id: Column) -> Column:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    small_batches(spark)
     profiles = fit(documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     out = predict(documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), profiles)
     return out.select("doc_id", "held_out", "lang_pred", "score")
