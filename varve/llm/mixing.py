@@ -5,8 +5,8 @@ with null last, weigh 5, 2, 1 and so on again; the mix holds SHARE of all words.
 weight, at most CAP times its size; what that leaves over is dealt to the others by weight, until none is above.
 
 Quotas. The mix is cut into blocks of BLOCK words. Sources get blocks by the highest quotients target / (2n - 1);
-a source's blocks go to its shards, by their sizes, in the same way. A shard holds about SHARD words of a source,
-drawn by a seeded hash of the id.
+a source's blocks go to its shards, by their sizes, in the same way. A shard holds about SHARD words or ROWS documents
+of a source, whichever makes it smaller, drawn by a seeded hash of the id and the text.
 
 Selection. A shard's documents, in seeded order, are one stream of words. Its quota takes the stream as often
 as it holds it whole, and then the stream's first blocks. What a document gives is how much of it lies there, at
@@ -38,7 +38,7 @@ from .common import fresh, small_batches, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
-BLOCK, SHARD = 16, 1 << 24
+BLOCK, SHARD, ROWS = 16, 1 << 24, 1 << 14
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,13 +80,14 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, cap: f
     return out
 
 
-def _source_quotas(block: int, shard: int):
+def _source_quotas(block: int, shard: int, rows: int):
     def run(sources: pd.DataFrame) -> pd.DataFrame:
         order = sorted(range(len(sources)), key=lambda i: (sources["source"].iloc[i] is None, sources["source"].iloc[i] or ""))
         s = sources.iloc[order].reset_index(drop=True)
         sizes = s["source_size"].to_numpy(np.int64)
         t = targets(sizes, np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(s))], np.float64))
-        return s.assign(target=t, blocks=sainte_lague(t, round(float(t.sum()) / block)), shards=np.maximum(1, -(-sizes // shard)))
+        shards = np.maximum(1, np.maximum(-(-sizes // shard), -(-s["documents"].to_numpy(np.int64) // rows)))
+        return s.drop(columns="documents").assign(target=t, blocks=sainte_lague(t, round(float(t.sum()) / block)), shards=shards)
 
     return run
 
@@ -96,12 +97,12 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
     return s.assign(quota=sainte_lague(s["shard_size"].to_numpy(), int(s["blocks"].iloc[0])))[["source", "shard", "shard_size", "quota"]]
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK, shard: int = SHARD, rows: int = ROWS) -> DataFrame:
     """(doc_id, source, text_hash, size, source_size, target, taken), a row for each document."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw")), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    quotas = written(sources.groupBy().applyInPandas(_source_quotas(block, shard), "source string, source_size long, target double, blocks long, shards long"), "quotas")
+    sized = written(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("draw")), "sized")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
+    quotas = written(sources.groupBy().applyInPandas(_source_quotas(block, shard, rows), "source string, source_size long, target double, blocks long, shards long"), "quotas")
     q = quotas.withColumnRenamed("source", "of")
     dealt = sized.join(q, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("shard", F.pmod(F.xxhash64("draw"), "shards"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
