@@ -70,8 +70,8 @@ def peaks(samples: bytes) -> np.ndarray:
     return out
 
 
-def pairs(bins: np.ndarray) -> list[tuple[int, int]]:
-    """(at, code) for each peak and each of the FAN next ones."""
+def pairs(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, code) for each peak and each of the FAN next ones, in their order."""
     at, code = [np.array([len(bins) - 1])], [np.array([bins[-1] << 12])]
     for gap in range(1, FAN + 1):
         if len(bins) > gap:
@@ -79,7 +79,7 @@ def pairs(bins: np.ndarray) -> list[tuple[int, int]]:
             code.append((bins[:-gap] << 12) | (bins[gap:] << 2) | gap)
     at, code = np.concatenate(at), np.concatenate(code)
     order = np.lexsort((code, at))
-    return list(zip(at[order].tolist(), code[order].tolist(), strict=True))
+    return at[order].astype(np.int32), code[order].astype(np.int32)
 
 
 def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,19 +97,25 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def described(media: DataFrame, keep_media: bool = True) -> DataFrame:
     """What media_columns gives, all of it from the bytes of (doc_id, n_bytes, media)."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("code", pa.int32())])), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
 
-    def row(media: bytes) -> tuple:
-        back = from_wav(media)
-        found = [{"at": a, "code": c} for a, c in pairs(peaks(back))]
-        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), found, media if keep_media else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [row(m) for m in b.column(2).to_pylist()]
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+            rows, ats, codes, ends = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+            for m in b.column(2):
+                media = m.as_py()
+                back = from_wav(media)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()))
+                at, code = pairs(peaks(back))
+                ats.append(at)
+                codes.append(code)
+                ends.append(ends[-1] + len(at))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate(ats)), pa.array(np.concatenate(codes))], ["at", "code"])
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+            kept = b.column(2).cast(pa.binary()) if keep_media else pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), found, kept], names=["doc_id", "n_bytes", *names])
 
     small_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<struct<at: int, code: int>>, media binary")
