@@ -42,23 +42,26 @@ def flat_files(documents: DataFrame, path: str | None = None, block: int = BLOCK
         tokenize, end, size = tokenizer(path), np.array([separator], kind).tobytes(), block * np.dtype(kind).itemsize
         held, file, n, ended = bytearray(), None, 0, []  # ended: ids of documents that end in what is held, and where
 
-        def cut(upto: int) -> pa.RecordBatch:
-            nonlocal held, n, ended
-            ids, held = bytes(held[:upto]), held[upto:]
+        def cut(start: int, upto: int) -> pa.RecordBatch:
+            nonlocal n, ended
             here = [d for d, at in ended if at <= upto]
-            ended = [(d, at - upto) for d, at in ended if at > upto]
+            ended = [(d, at) for d, at in ended if at > upto]
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([n - 1], pa.int64()), pa.array([ids], pa.binary()), pa.array([here], pa.list_(pa.int64()))], names=["file", "block", "ids", "doc_ids"])
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([n - 1], pa.int64()), pa.array([bytes(held[start:upto])], pa.binary()), pa.array([here], pa.list_(pa.int64()))], names=["file", "block", "ids", "doc_ids"])
 
         for b in batches:
             for doc_id, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 file = part
                 held += np.frombuffer(tokenize(text), "<u4").astype(kind).tobytes() + end
                 ended.append((doc_id, len(held)))
-                while len(held) >= size:
-                    yield cut(size)
+                full = len(held) // size * size
+                for start in range(0, full, size):
+                    yield cut(start, start + size)
+                if full:  # what is left moves to the front once, however many blocks a text has filled
+                    del held[:full]
+                    ended = [(d, at - full) for d, at in ended]
         if held:
-            yield cut(len(held))
+            yield cut(0, len(held))
 
     small_batches(documents.sparkSession)
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("file"))
