@@ -15,7 +15,7 @@ from .packing import op4_best_fit_packing
 from .simhash import op6_simhash_near_dedup
 from .substrings import op3_suffix_dedup
 from .tokencounts import op7_token_counts
-from .topk import op1_exact_top_k
+from .topk import OP1_SQL, op1_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": OP1_SQL,
     "op2_chat_format": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
 }
