@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.operators import lsm, scan, visible
-from varve.operators.ordering import neighbours, running
+from varve.operators.ordering import Ranges, last_before, neighbours, running
 
 
 @pytest.fixture(scope="module", params=[1, 2])
@@ -20,15 +20,62 @@ def frame(spark, values, name="key"):
     return spark.createDataFrame([(v,) for v in values], f"{name} string").repartition(3)
 
 
-@pytest.mark.parametrize("width", [1, 14])
-def test_neighbours_and_ranks(spark, keys, width):
-    got = {r["key"]: (r["prev_key"], r["next_key"]) for r in neighbours(frame(spark, keys), "key", width).collect()}
+@pytest.mark.parametrize("prefix", ["", "http://example.org/a/long/common/prefix/"])
+def test_neighbours_and_ranks(spark, keys, prefix):
+    keys = [prefix + k for k in keys]
+    got = {r["key"]: (r["prev_key"], r["next_key"]) for r in neighbours(frame(spark, keys), "key").collect()}
     assert got == {k: (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)}
     for down in (False, True):
-        got = {r["key"]: r["n"] for r in scan.ranked(frame(spark, keys), "key", "n", down, width).collect()}
+        got = {r["key"]: r["n"] for r in scan.ranked(frame(spark, keys), "key", "n", down).collect()}
         assert got == {k: len(keys) - i if down else i + 1 for i, k in enumerate(keys)}
-    sums = {r["key"]: r["before"] for r in running(frame(spark, keys), F.substring("key", 1, width), [F.asc("key")], F.length("key"), "before").collect()}
+    sums = {r["key"]: r["before"] for r in running(frame(spark, keys), ["key"], F.length("key"), "before").collect()}
     assert sums == {k: sum(map(len, keys[:i])) for i, k in enumerate(keys)}
+    assert neighbours(frame(spark, keys).limit(0), "key").count() == 0
+
+
+def test_ranges_are_even(spark):
+    """Whatever the keys look like, and with most rows under one key."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "http://a/hot").otherwise(F.concat(F.lit("http://a/"), F.col("id"))).alias("key"), F.col("id").alias("seq"))
+    by = ["key", -F.col("seq")]
+    sizes = rows.groupBy(Ranges(rows, *by, parts=16).of(*by).alias("range")).count().collect()
+    assert sorted(r["range"] for r in sizes) == list(range(16)) and max(r["count"] for r in sizes) < 3 * 20_000 / 16
+    placed = running(rows, by, F.lit(1), "before").orderBy("before").collect()
+    assert [r["before"] for r in placed] == list(range(20_000)) and [(r["key"], -r["seq"]) for r in placed] == sorted((r["key"], -r["seq"]) for r in placed)
+
+
+def test_last_before_in_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), i, rng.choice([None, i])) for i in rng.sample(range(500), 200)]
+    df = spark.createDataFrame(rows, "g int, at long, x long")
+    for forward in (False, True):
+        for r in last_before(df, ["at"], F.col("x"), "found", ("g",), forward).collect():
+            near = [x for g, at, x in rows if g == r["g"] and x is not None and (at >= r["at"] if forward else at <= r["at"])]
+            assert r["found"] == ((min if forward else max)(near) if near else None)
+
+
+def test_ranges_of_files(spark):
+    rng = random.Random(5)
+    files = [(rng.randrange(2), i, *sorted((f"k{rng.randrange(1000):04d}", f"k{rng.randrange(1000):04d}"))) for i in range(60)] + [(0, 100, "a", "z"), (1, 101, "z", "a")]
+    df = spark.createDataFrame(files, "level int, file_no long, smallest string, largest string")
+    pairs = {(a[0], a[1], b[1]) for a in files for b in files if a[0] == b[0] and a[1] < b[1] and a[3] >= b[2] and b[3] >= a[2] and 101 not in (a[1], b[1])}
+    got = [tuple(r) for r in lsm.overlap_pairs(df).collect()]
+    assert set(got) == pairs and len(got) == len(pairs)
+    asked = [f"k{i:04d}" for i in range(0, 1000, 37)] + ["", "zz"]
+    got = sorted((r["key"], r["file_no"]) for r in lsm.candidates(frame(spark, asked), df).collect())
+    assert got == sorted((k, f[1]) for k in asked for f in files if f[2] <= k <= f[3])
+
+
+def test_no_task_sees_all_rows(spark):
+    """Only the summaries of ranges go to one task, and no ranges are compared pair by pair."""
+    mut = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("seq"), F.lit(1).alias("vtype"), F.lit("v").alias("value"))
+    files = mut.select(F.lit(0).alias("level"), F.col("seq").alias("file_no"), F.col("key").alias("smallest"), F.col("key").alias("largest"))
+    keys = mut.select("key")
+    for df in (scan.internal_scan(mut), scan.with_neighbours(mut), scan.seek(keys, keys.withColumnRenamed("key", "target")), lsm.output_files(mut), lsm.candidates(keys, files), lsm.overlap_pairs(files)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        for before, line in zip(plan.splitlines(), plan.splitlines()[1:], strict=False):
+            if "SinglePartition" in before:
+                assert "Aggregate(key" in line, plan
 
 
 def test_seeks(spark, keys):

@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions import bytesfn as B
 from ..model import PUT
+from .ordering import running
 from .visible import newest
 
 
 def sequenced(batches: DataFrame, base: int = 0) -> DataFrame:
-    """batches with seq: base + 1 on, by batch and place in it. Only batch counts are summed in one order."""
+    """batches with seq: base + 1 on, by batch and place in it."""
     counts = batches.groupBy("batch_id").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("batch_id").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = running(counts, ["batch_id"], F.col("n"), "before").select(F.col("batch_id").alias("of"), "before")
     place = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos"))
     rows = batches.withColumn("place", place).join(before, F.col("batch_id") == F.col("of"))
     return rows.select("batch_id", "pos", "key", (F.col("before") + F.col("place") + base).cast("long").alias("seq"), "vtype", F.when(F.col("vtype") == PUT, F.col("value")).alias("value"))

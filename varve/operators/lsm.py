@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import bytesfn as B
 from ..model import DELETE, LEVELS, PUT
-from .ordering import key_bucket, running
+from .ordering import Ranges, last_before, running
 
 WRITE_BUFFER, OUTPUT_FILE = 4 << 20, 2 << 20
 L0_TRIGGER, LEVEL_BASE = 4, 10 << 20
@@ -20,9 +20,9 @@ def sized(mut: DataFrame) -> DataFrame:
     return mut.withColumn("bytes", B.memtable_entry_size(F.length("key").cast("long"), v))
 
 
-def assigned_runs(mut: DataFrame, buffer: int = WRITE_BUFFER, bucket: int = 1000) -> DataFrame:
+def assigned_runs(mut: DataFrame, buffer: int = WRITE_BUFFER) -> DataFrame:
     """mut with run_id: the log cut, in sequence order, where `buffer` bytes are full."""
-    placed = running(sized(mut), F.floor(F.col("seq") / bucket), [F.asc("seq")], F.col("bytes"), "before")
+    placed = running(sized(mut), ["seq"], F.col("bytes"), "before")
     return placed.withColumn("run_id", F.floor(F.col("before") / buffer).cast("long")).drop("before")
 
 
@@ -30,17 +30,26 @@ def run_metadata(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def _over(files: DataFrame, ranges: Ranges) -> DataFrame:
+    """files, a row for each of the ranges (in `range`) that a file's keys reach into."""
+    return files.withColumn("range", F.explode(F.sequence(ranges.of("smallest"), ranges.of("largest"))))
+
+
 def candidates(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, file) pairs where the file's range holds the key. File lists are metadata: Spark broadcasts one only under its size limit."""
-    return keys.join(files, (F.col("smallest") <= F.col("key")) & (F.col("key") <= F.col("largest")))
+    """(key, file) pairs where the file's range holds the key: met inside ranges of the keys."""
+    ranges, files = Ranges(keys, "key"), files.where("smallest <= largest")
+    held = (F.col("smallest") <= F.col("key")) & (F.col("key") <= F.col("largest"))
+    return keys.withColumn("range", ranges.of("key")).join(_over(files, ranges), "range").where(held).drop("range")
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:
-    """Pairs of files of one level whose ranges meet."""
-    a = files.select("level", F.col("file_no").alias("file_a"), F.col("smallest").alias("low_a"), F.col("largest").alias("high_a"))
-    b = files.select("level", F.col("file_no").alias("file_b"), F.col("smallest").alias("low_b"), F.col("largest").alias("high_b"))
-    meet = (F.col("high_a") >= F.col("low_b")) & (F.col("high_b") >= F.col("low_a")) & (F.col("file_a") < F.col("file_b"))
-    return a.join(b, "level").where(meet).select("level", "file_a", "file_b")
+    """Pairs of files of one level whose ranges meet: each where the later of the two begins, inside ranges of the keys."""
+    files = files.where("smallest <= largest")
+    ranges = Ranges(files, "smallest")
+    side = lambda x: _over(files, ranges).select("level", "range", *(F.col(c).alias(f"{c}_{x}") for c in ("file_no", "smallest", "largest")))
+    meet = (F.col("largest_a") >= F.col("smallest_b")) & (F.col("largest_b") >= F.col("smallest_a")) & (F.col("file_no_a") < F.col("file_no_b"))
+    here = F.col("range") == ranges.of(F.greatest("smallest_a", "smallest_b"))
+    return side("a").join(side("b"), ["level", "range"]).where(meet & here).select("level", F.col("file_no_a").alias("file_a"), F.col("file_no_b").alias("file_b"))
 
 
 def overlap_islands(files: DataFrame) -> DataFrame:
@@ -57,27 +66,21 @@ def read_amplification(keys: DataFrame, files: DataFrame) -> DataFrame:
     end = files.select(F.col("largest").alias("key"), F.lit(2).alias("turn"), F.lit(-1).alias("n"))
     asked = keys.select("key", F.lit(1).alias("turn"), F.lit(0).alias("n"))
     events = begin.unionByName(end).unionByName(asked)
-    open_ = running(events, key_bucket("key"), [F.asc("key"), F.asc("turn")], F.col("n"), "before")
+    open_ = running(events, ["key", "turn"], F.col("n"), "before")
     return open_.where(F.col("turn") == 1).select("key", F.col("before").cast("long").alias("n_files"))
 
 
 def located(keys: DataFrame, files: DataFrame) -> DataFrame:
     """(key, level, file_no): the file that may hold each key, in levels whose ranges are disjoint: the last one to begin, if it has not ended.
 
-    Found in one order of a level's files and the keys, inside key buckets and then over the buckets' last files.
+    Found in one order of the files and the keys.
     """
     levels = F.broadcast(files.select("level").distinct())  # seven rows at most
     file = F.struct(F.col("smallest").alias("smallest"), F.col("largest").alias("largest"), F.col("file_no").alias("file_no"))
     starts = files.select("level", F.col("smallest").alias("key"), F.lit(0).alias("probe"), file.alias("file"))
     asked = keys.crossJoin(levels).select("level", "key", F.lit(1).alias("probe"), F.lit(None).cast(starts.schema["file"].dataType).alias("file"))
-    both = starts.unionByName(asked).withColumn("bucket", key_bucket("key"))
-    inside = Window.partitionBy("level", "bucket").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    ends = both.groupBy(F.col("level").alias("of_level"), F.col("bucket").alias("of")).agg(F.max("file").alias("end"))
-    before = Window.partitionBy("of_level").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
-    other = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).drop("end")
-    near = both.withColumn("near", F.last("file", ignorenulls=True).over(inside)).where("probe = 1")
-    found = near.join(other, (F.col("level") == F.col("of_level")) & (F.col("bucket") == F.col("of"))).withColumn("found", F.coalesce("near", "far"))
-    return found.where("found.largest >= key").select("key", "level", "found.file_no")
+    found = last_before(starts.unionByName(asked), ["key", "probe"], F.col("file"), "found", ("level",))
+    return found.where("probe = 1 AND found.largest >= key").select("key", "level", "found.file_no")
 
 
 def _newest(mut: DataFrame) -> DataFrame:
@@ -115,10 +118,10 @@ def space(mut: DataFrame, kept: DataFrame) -> DataFrame:
     return before.crossJoin(after).withColumn("amplification", F.round(F.col("bytes_before") / F.col("bytes_after"), 6))  # one row each
 
 
-def output_files(kept: DataFrame, limit: int = OUTPUT_FILE, width: int = 14) -> DataFrame:
+def output_files(kept: DataFrame, limit: int = OUTPUT_FILE) -> DataFrame:
     """Compaction output cut, in key order and never inside a key, where `limit` bytes are full."""
     keys = sized(kept).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    placed = running(keys, key_bucket("key", width), [F.asc("key")], F.col("bytes"), "before")
+    placed = running(keys, ["key"], F.col("bytes"), "before")
     cut = placed.withColumn("file_id", F.floor(F.col("before") / limit).cast("long"))
     return cut.groupBy("file_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("smallest"), F.max("key").alias("largest"))
 

@@ -1,38 +1,89 @@
 """Orders over whole relations without one task that sees every row.
 
-Running sums, ranks and neighbours in key order are made in two levels: inside buckets of the order, then over the
-buckets' summaries, which are far fewer.
+Running sums, ranks and neighbours are made in two levels: inside ranges of the order, then over the ranges' summaries,
+one row a range. The ranges come from a sample of the rows' places in the order, drawn by hash, so they hold about
+as many rows each whatever the keys look like; places take in all that orders the rows, so a key with very many
+versions is cut too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Places that are drawn for each range.
+DRAWN = 24
 
-def running(df: DataFrame, bucket: Column, order: list[Column | str], amount: Column, name: str) -> DataFrame:
-    """df with `name`: the sum of amount over all rows before this one. bucket must rise with the order."""
-    cols = df.columns
-    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("__bucket", bucket).withColumn("__amount", amount).withColumn("__local", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
-    totals = df.select(bucket.alias("__of"), amount.alias("__amount")).groupBy("__of").agg(F.sum("__amount").alias("__total"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(before, F.col("__bucket") == F.col("__of"))
-    return out.select(*cols, (F.col("__local") + F.col("__before")).alias(name))
 
+def _place(by: list[Column | str]) -> Column:
+    """What rows are ordered by, ascending, as one value that compares."""
+    return F.struct(*(c if isinstance(c, Column) else F.col(c) for c in by))
+
+
+class Ranges:
+    """Ranges of the order `by` that hold about as many rows of df each: as many as there are shuffle partitions, at most.
+
+    One pass over the places with partial aggregates finds them; DRAWN places a range come to the driver.
+    """
+
+    def __init__(self, df: DataFrame, *by: Column | str, parts: int | None = None) -> None:
+        self.parts = max(1, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        place = F.col("__place")
+        drawn = df.select(_place(list(by)).alias("__place")).groupBy(F.pmod(F.xxhash64(place), F.lit(self.parts * DRAWN)).alias("__lot"))
+        drawn = drawn.agg(F.min_by(place, F.xxhash64(F.lit(1), place)).alias("__place"))
+        found = drawn.select("__place").distinct().orderBy("__place").collect()  # one row a lot
+        step = max(1.0, len(found) / self.parts)
+        picked = [found[int(i * step)]["__place"] for i in range(1, self.parts) if int(i * step) < len(found)]
+        kinds = drawn.schema["__place"].dataType.fields
+        lits = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, kinds, strict=True))) for p in picked]
+        self.bounds, self.n = F.array(*lits), len(picked)
 
-def key_bucket(key: Column | str, width: int = 14) -> Column:
-    """A bucket of keys that rises with them: their first characters."""
-    return F.substring(key, 1, width)
+    def of(self, *by: Column | str) -> Column:
+        """The range of a place: the number of bounds at or before it, by bisection."""
+        if not self.n:
+            return F.lit(0)
+        place, steps = _place(list(by)), F.array(*(F.lit(1 << k) for k in reversed(range(self.n.bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.get(self.bounds, at + w - 1) <= place, at + w).otherwise(at))
 
 
-def neighbours(df: DataFrame, key: str, width: int = 14) -> DataFrame:
+def running(df: DataFrame, by: list[Column | str], amount: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of amount over all rows before this one, in the ascending order of `by`."""
+    cols, at = df.columns, Ranges(df, *by).of(*by)
+    inside = Window.partitionBy("__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn("__range", at).withColumn("__amount", amount).withColumn("__local", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    totals = df.select(at.alias("__of"), amount.alias("__amount")).groupBy("__of").agg(F.sum("__amount").alias("__total"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = local.join(before, F.col("__range") == F.col("__of"), "left")
+    return out.select(*cols, (F.col("__local") + F.col("__before")).alias(name))
+
+
+def neighbours(df: DataFrame, key: str) -> DataFrame:
     """df, of different keys, with prev_key and next_key in key order."""
-    inside = Window.partitionBy("__bucket").orderBy(key)
-    local = df.withColumn("__bucket", key_bucket(key, width)).withColumn("__prev", F.lag(key).over(inside)).withColumn("__next", F.lead(key).over(inside))
-    ends = df.groupBy(key_bucket(key, width).alias("__of")).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
+    at, inside = Ranges(df, key).of(key), Window.partitionBy("__range").orderBy(key)
+    local = df.withColumn("__range", at).withColumn("__prev", F.lag(key).over(inside)).withColumn("__next", F.lead(key).over(inside))
+    ends = df.groupBy(at.alias("__of")).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
     over = Window.orderBy("__of")
     ends = ends.select("__of", F.lag("__most").over(over).alias("__before"), F.lead("__least").over(over).alias("__after"))
-    out = local.join(ends, F.col("__bucket") == F.col("__of"))
+    out = local.join(ends, F.col("__range") == F.col("__of"), "left")
     return out.select(*df.columns, F.coalesce("__prev", "__before").alias("prev_key"), F.coalesce("__next", "__after").alias("next_key"))
+
+
+def last_before(df: DataFrame, by: list[Column | str], value: Column, name: str, groups: tuple[str, ...] = (), forward: bool = False) -> DataFrame:
+    """df with `name`: the last value that is not null among the rows up to this one in the order, or the first from it on if forward."""
+    cols = df.columns
+    both = df.withColumn("__range", Ranges(df, *by).of(*by)).withColumn("__value", value)
+    inside, over = Window.partitionBy(*groups, "__range").orderBy(*by), Window.partitionBy(*(f"__of_{g}" for g in groups)).orderBy("__of")
+    end = (F.min_by if forward else F.max_by)("__value", F.when(F.col("__value").isNotNull(), _place(by)))
+    ends = both.groupBy(*(F.col(g).alias(f"__of_{g}") for g in groups), F.col("__range").alias("__of")).agg(end.alias("__end"))
+    if forward:
+        near = F.first("__value", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        far = F.first("__end", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        near = F.last("__value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        far = F.last("__end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("__far", far).drop("__end")
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups), F.col("__range") == F.col("__of"))
+    return both.withColumn("__near", near).join(ends, same, "left").select(*cols, F.coalesce("__near", "__far").alias(name))

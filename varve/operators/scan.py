@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import key_bucket, neighbours, running
+from .ordering import last_before, neighbours, running
 from .visible import live
 
 INTERNAL = (F.asc, "key"), (F.desc, "seq"), (F.desc, "vtype")
@@ -19,9 +20,9 @@ def internal_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*(f(c) for f, c in INTERNAL))
 
 
-def internal_scan(mut: DataFrame, width: int = 14) -> DataFrame:
+def internal_scan(mut: DataFrame) -> DataFrame:
     """All versions and deletions with their place in the internal order, from 1."""
-    placed = running(mut, key_bucket("key", width), [f(c) for f, c in INTERNAL], F.lit(1), "before")
+    placed = running(mut, ["key", -F.col("seq"), -F.col("vtype")], F.lit(1), "before")
     return placed.select("key", "seq", "vtype", "value", (F.col("before") + 1).cast("long").alias("place"))
 
 
@@ -34,14 +35,20 @@ def visible_scan(mut: DataFrame, snapshot: int | None = None, descending: bool =
     return live(mut, snapshot).orderBy(F.desc("key") if descending else F.asc("key"))
 
 
-def range_scan(mut: DataFrame, low: object, high: object, snapshot: int | None = None) -> DataFrame:
-    """low <= key < high; either may be None. The filter comes before the aggregate, so it reaches the scan."""
+def between(low: object, high: object, order: Callable[[Column], Column] | None = None) -> Column:
+    """low <= key < high under an order of keys (a column that sorts like them); either may be None."""
+    by = order or (lambda c: c)
     cut: Column = F.lit(True)
     if low is not None:
-        cut = cut & (F.col("key") >= F.lit(low))
+        cut = cut & (by(F.col("key")) >= by(F.lit(low)))
     if high is not None:
-        cut = cut & (F.col("key") < F.lit(high))
-    return visible_scan(mut.where(cut), snapshot)
+        cut = cut & (by(F.col("key")) < by(F.lit(high)))
+    return cut
+
+
+def range_scan(mut: DataFrame, low: object, high: object, snapshot: int | None = None) -> DataFrame:
+    """low <= key < high; either may be None. The filter comes before the aggregate, so it reaches the scan."""
+    return visible_scan(mut.where(between(low, high)), snapshot)
 
 
 def after_prefix(prefix: str) -> str | None:
@@ -64,9 +71,9 @@ def last(mut: DataFrame, snapshot: int | None = None) -> DataFrame:
     return visible_scan(mut, snapshot, descending=True).limit(1)
 
 
-def ranked(df: DataFrame, key: str, name: str, descending: bool = False, width: int = 14) -> DataFrame:
+def ranked(df: DataFrame, key: str, name: str, descending: bool = False) -> DataFrame:
     """df, of different keys, with their rank in key order."""
-    up = running(df, key_bucket(key, width), [F.asc(key)], F.lit(1), "__before")
+    up = running(df, [key], F.lit(1), "__before")
     if not descending:
         return up.select(*df.columns, (F.col("__before") + 1).cast("long").alias(name))
     n = df.agg(F.count("*").alias("__n"))
@@ -84,20 +91,10 @@ def seek_before(keys: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _nearest(keys: DataFrame, targets: DataFrame, forward: bool) -> DataFrame:
-    """Targets and keys in one order, a target before an equal key: the next or last key in the bucket, else in the other buckets."""
+    """Targets and keys in one order, a target before an equal key: the next or the last key."""
     both = keys.select("key", F.lit(True).alias("is_key")).unionByName(targets.select(F.col("target").alias("key"), F.lit(False).alias("is_key")))
-    both = both.withColumn("bucket", key_bucket("key")).withColumn("found", F.when(F.col("is_key"), F.col("key")))
-    inside, over = Window.partitionBy("bucket").orderBy("key", "is_key"), Window.orderBy("bucket")
-    ends = both.groupBy(F.col("bucket").alias("of")).agg((F.min if forward else F.max)("found").alias("end"))
-    if forward:
-        near = F.first("found", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-        far = F.first("end", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        near = F.last("found", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        far = F.last("end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    other = ends.withColumnRenamed("of", "bucket").withColumn("far", far).select(F.col("bucket").alias("of"), "far")
-    local = both.withColumn("near", near).where(~F.col("is_key"))
-    return local.join(other, F.col("bucket") == F.col("of")).select(F.col("key").alias("target"), F.coalesce("near", "far").alias("key"))
+    found = last_before(both, ["key", "is_key"], F.when(F.col("is_key"), F.col("key")), "found", forward=forward)
+    return found.where(~F.col("is_key")).select(F.col("key").alias("target"), F.col("found").alias("key"))
 
 
 def with_neighbours(mut: DataFrame, snapshot: int | None = None) -> DataFrame:

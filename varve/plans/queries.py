@@ -388,7 +388,7 @@ def _(spark, d):
 def _prefixed(spark: SparkSession, d: str) -> DataFrame:
     """Parts by name and key: the shared prefix with the one before, zero at restarts."""
     part = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name", F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("key"))
-    placed = scan.ranked(scan.neighbours(part, "key", 6), "key", "place", width=6).withColumn("nth", F.col("place") - 1)
+    placed = scan.ranked(scan.neighbours(part, "key"), "key", "place").withColumn("nth", F.col("place") - 1)
     shared = F.when(F.col("nth") % B.RESTART_INTERVAL == 0, F.lit(0).cast("long")).otherwise(B.shared_prefix_len(F.col("prev_key"), F.col("key")))
     return placed.select("key", "nth", shared.alias("shared"))
 
