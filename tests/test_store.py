@@ -237,4 +237,100 @@ def test_comparator(spark, path):
     s.flush()
     assert [bytes(r["key"]) for r in s.scan().collect()] == [b"b1", b"c2", b"a3"]
     assert [bytes(r["key"]) for r in s.scan(reverse=True).collect()] == [b"a3", b"c2", b"b1"]
-    assert s.get(b"c2") == b"v" and s.scan(b"b", b"c").count() == 1
+    assert s.get(b"c2") == b"v" and s.scan(b"b1", b"a3").count() == 2  # bounds are in that order too
+
+
+def test_comparator_in_bounds_and_cursor(spark, path):
+    s = KVStore.open(spark, path, create_if_missing=True, comparator=lambda c: F.reverse(c.cast("string")))
+    for k in (b"a3", b"b2", b"c1", b"d0"):
+        s.put(k, b"v")
+    s.flush()
+    assert [bytes(r["key"]) for r in s.scan(b"c1", b"a3").collect()] == [b"c1", b"b2"]
+    at = s.iterator()
+    at.BLOCK = 2
+    seen = []
+    at.seek_to_first()
+    while at.valid():
+        seen.append(at.key())
+        at.next()
+    assert seen == [b"d0", b"c1", b"b2", b"a3"]
+    at.seek(b"b2")
+    seen = []
+    while at.valid():
+        seen.append(at.key())
+        at.prev()
+    assert seen == [b"b2", b"c1", b"d0"]
+    at.seek(b"z9")
+    assert not at.valid()
+
+
+def test_cursor_reads_few_files(spark, path):
+    """A refill reads up to the next end of a file, and goes further only where all in between is deleted."""
+    s = KVStore.open(spark, path, create_if_missing=True, disable_auto_compaction=True)
+    s.write_frame(fill_sequential(spark, 400))
+    s.write_frame(fill_sequential(spark, 300).withColumn("vtype", F.lit(0)).where("key >= '0000000000000020'"))
+    want = [b"%016d" % i for i in [*range(20), *range(300, 400)]]
+    at = s.iterator()
+    at.BLOCK = 7
+    read = []
+    mut = s.mut
+    s.mut = lambda low=None, high=None, snapshot=None: read.append((low, high)) or mut(low, high, snapshot)
+    seen = []
+    at.seek_to_first()
+    while at.valid():
+        seen.append(at.key())
+        at.next()
+    assert seen == want and sum(high is None for _, high in read) <= 2
+    seen = []
+    at.seek_to_last()
+    while at.valid():
+        seen.append(at.key())
+        at.prev()
+    assert seen == want[::-1]
+
+
+def test_deletions_leave_the_lowest_level(spark, path):
+    s = KVStore.open(spark, path, create_if_missing=True, disable_auto_compaction=True)
+    for i in range(6):
+        s.put(key(f"k{i}"), b"v")
+    s.flush()
+    s.compact(0)
+    held = s.snapshot()
+    s.delete(key("k1"))
+    s.flush()
+    s.compact(0)
+    assert s.mut().where("vtype = 0").count() == 1 and s.scan(snapshot=held).count() == 6 and s.scan().count() == 5
+    s.release(held)
+    s.delete(key("k2"))
+    s.flush()
+    s.compact(0)
+    assert s.mut().where("vtype = 0").count() == 0 and s.mut().count() == 4 and s.scan().count() == 4
+    for i in range(6):
+        s.delete(key(f"k{i}"))
+    s.flush()
+    s.compact(0)
+    assert s.mut().count() == 0 and KVStore.open(spark, path).scan().count() == 0
+
+
+def test_a_publish_between_another_ones_write_and_rename(spark, path):
+    """A second writer's file can't go out under the first one's name."""
+    from varve.sources.files import Files
+
+    a, b = Files(spark, path), Files(spark, path)
+    a.make(path)
+    rename, done = a.fs.rename, []
+
+    class Late:
+        def __getattr__(self, name):
+            return getattr(b.fs, name)
+
+        def rename(self, temp, to):
+            if not done:
+                done.append(1)
+                b.write(f"{path}/x", b"second")
+            return rename(temp, to)
+
+    a.fs = Late()
+    with pytest.raises(FileExistsError):
+        a.write(f"{path}/x", b"first")
+    assert b.read(f"{path}/x") == b"second" and [n for n, *_ in b.list(path) if n.startswith("x")] == ["x"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,7 +26,7 @@ class Files:
         """A whole file, visible under its name once it is complete. Without overwrite, an existing one is an error."""
         if not overwrite and self.exists(p):
             raise FileExistsError(p)
-        temp = f"{p}.tmp"
+        temp = f"{p}.{uuid.uuid4().hex}.tmp"  # a name of the writer's own, which no other one overwrites before the rename
         out = self.fs.create(self.path(temp), True)
         out.write(data)
         out.close()
@@ -35,6 +37,7 @@ class Files:
             one[0] = options.OVERWRITE
             context.rename(self.path(temp), self.path(p), one)
         elif not self.fs.rename(self.path(temp), self.path(p)):
+            self.remove(temp)
             raise FileExistsError(p)
 
     def read(self, p: str) -> bytes:

@@ -57,7 +57,8 @@ class Options:
     disable_auto_compaction: bool = False
     output_file_size: int = 2 << 20
     bloom: bool = True
-    #: What keys are ordered by; other than the key itself, ranges of files are not used to leave files out.
+    #: What keys are ordered by, a column that differs for different keys; other than the key itself, ranges of files are
+    #: not used to leave files out.
     comparator: Callable[[Column], Column] | None = None
 
 
@@ -278,11 +279,17 @@ class KVStore:
     def multi_get(self, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
         return visible.multi_get(self.mut(snapshot=snapshot), keys, snapshot)
 
-    def scan(self, low: bytes | None = None, high: bytes | None = None, snapshot: int | None = None, reverse: bool = False) -> DataFrame:
-        """Live keys, low <= key < high, in order."""
-        rows = scan.range_scan(self.mut(low, high, snapshot), bytearray(low) if low is not None else None, bytearray(high) if high is not None else None, snapshot)
-        by = (self.options.comparator or (lambda c: c))(F.col("key"))
-        return rows.orderBy(by.desc() if reverse else by.asc())
+    def _order(self, c: Column) -> Column:
+        return (self.options.comparator or (lambda x: x))(c)
+
+    def scan(self, low: bytes | None = None, high: bytes | None = None, snapshot: int | None = None, reverse: bool = False, after: bytes | None = None) -> DataFrame:
+        """Live keys, low <= key < high and key > after, in order; all of them under the comparator, if there is one."""
+        ends = [bytearray(x) if x is not None else None for x in (low, high, after)]
+        mut = self.mut(max((x for x in (low, after) if x is not None), default=None), high, snapshot).where(scan.between(ends[0], ends[1], self._order))
+        if after is not None:
+            mut = mut.where(self._order(F.col("key")) > self._order(F.lit(ends[2])))
+        by = self._order(F.col("key"))
+        return visible.live(mut, snapshot).orderBy(by.desc() if reverse else by.asc())
 
     def scan_internal(self) -> DataFrame:
         """All versions and deletions, in internal order."""
@@ -337,10 +344,17 @@ class KVStore:
         upper, lower = self.picked(level)
         oldest = self.snapshots[0] if self.snapshots else None
         size = sum(f["file_size"] for f in upper + lower)
-        kept = lsm.compacted(self._read(upper + lower), oldest)
-        new = self._run(kept, level + 1, max(1, -(-size // self.options.output_file_size)))
+        merged = self._read(upper + lower)
+        # with nothing of these keys further down, a deletion that every snapshot sees hides nothing any more
+        kept = lsm.without_old_tombstones(merged, self.seq if oldest is None else oldest) if self._lowest(upper + lower, level + 1) else lsm.compacted(merged, oldest)
+        new = self._run(kept, level + 1, max(1, -(-size // self.options.output_file_size)))  # none, if all of it was deletions
         self._edit(upper + lower, new, next_file=self._next(new))
 
+    def _lowest(self, files: list[dict], level: int) -> bool:
+        """Whether no level under this one has a file that these files' keys reach into."""
+        low, high = min(f["smallest"] for f in files), max(f["largest"] for f in files)
+        return not any(f["level"] > level and f["largest"] >= low and f["smallest"] <= high for f in self.version.files)
+
     def maintain(self) -> None:
         """Compact while a level is over its limit."""
         while not self.options.disable_auto_compaction and (level := self.level_over()) is not None:
@@ -361,7 +375,11 @@ class KVStore:
 
 
 class Cursor:
-    """A forward and backward cursor over the live keys of a snapshot. Each seek is one query; rows after it come by blocks."""
+    """A forward and backward cursor over the live keys of a snapshot, in blocks of rows.
+
+    A block is read from the files that reach up to the next end of one, so that going through a store reads each file
+    about as often as it has blocks, not the rest of the store for each block.
+    """
 
     BLOCK = 1000
 
@@ -370,34 +388,56 @@ class Cursor:
         self.rows: list[tuple[bytes, bytes]] = []
         self.at = 0
 
-    def _load(self, rows: DataFrame, backward: bool) -> None:
-        got = [(bytes(r["key"]), bytes(r["value"])) for r in rows.limit(self.BLOCK).select("key", "value").collect()]  # one block
-        self.rows = got[::-1] if backward else got
-        self.at = len(got) - 1 if backward else 0
+    def _rows(self, **ends: object) -> list[tuple[bytes, bytes]]:
+        rows = self.store.scan(snapshot=self.at_seq, **ends).limit(self.BLOCK).select("key", "value").collect()  # one block
+        return [(bytes(r["key"]), bytes(r["value"])) for r in rows]
+
+    def _steps(self, key: bytes | None, forward: bool) -> list[bytes | None]:
+        """Where to read up to from a key: the ends of files in the way, at growing distances, then the end of all."""
+        if self.store.options.comparator is not None:
+            return [None]
+        ends = sorted({bytes.fromhex(f["largest" if forward else "smallest"]) for f in self.store.version.files}, reverse=not forward)
+        ends = [e for e in ends if key is None or (e >= key if forward else e < key)]
+        return [*(ends[(1 << n) - 1] for n in range(len(ends).bit_length())), None]
+
+    def _forward(self, low: bytes | None, after: bytes | None) -> None:
+        self.rows, self.at = [], 0
+        for end in self._steps(low if after is None else after, True):
+            self.rows = self._rows(low=low, after=after, high=None if end is None else end + b"\0")
+            if self.rows:
+                return
+
+    def _backward(self, high: bytes | None) -> None:
+        self.rows = []
+        for end in self._steps(high, False):
+            self.rows = self._rows(low=end, high=high, reverse=True)[::-1]
+            if self.rows:
+                break
+        self.at = len(self.rows) - 1
 
     def valid(self) -> bool:
         return 0 <= self.at < len(self.rows)
 
     def seek(self, key: bytes) -> None:
-        self._load(self.store.scan(bytes(key), None, self.at_seq), False)
+        self._forward(bytes(key), None)
 
     def seek_to_first(self) -> None:
-        self._load(self.store.scan(snapshot=self.at_seq), False)
+        self._forward(None, None)
 
     def seek_to_last(self) -> None:
-        self._load(self.store.scan(snapshot=self.at_seq, reverse=True), True)
+        self._backward(None)
 
     def next(self) -> None:
         if self.at + 1 < len(self.rows):
             self.at += 1
         else:
-            self.seek(self.key() + b"\0")
+            self._forward(None, self.key())
 
     def prev(self) -> None:
         if self.at > 0:
             self.at -= 1
         else:
-            self._load(self.store.scan(None, self.key(), self.at_seq, reverse=True), True)
+            self._backward(self.key())
 
     def key(self) -> bytes:
         if not self.valid():
