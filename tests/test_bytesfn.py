@@ -72,3 +72,29 @@ def test_fragments(spark, size, pieces, end):
 def test_shared_prefix(spark):
     df = rows(spark, [("abc", "abd"), ("", "a"), ("abc", "abc"), ("ab", "abc"), ("x", "abc")], "a string, b string")
     assert [r[0] for r in df.select(B.shared_prefix_len(F.col("a"), F.col("b"))).collect()] == [2, 0, 3, 2, 0]
+
+
+def test_handles_and_footers_read_back(spark):
+    n = lambda x: F.lit(x).cast("long")
+    foot = spark.range(1).select(B.footer(n(300), n(5), n(310), n(1 << 40))).first()[0]
+    cases = [foot, foot[:-2] + "00", foot[:-2], "80" * 20 + foot[40:], ""]
+    got = [r[0] for r in rows(spark, cases, "h string").select(B.footer_decode(F.unhex("h"))).collect()]
+    assert tuple(got[0]) == (300, 5, 310, 1 << 40) and got[1:] == [None] * 4
+    got = [r[0] for r in rows(spark, ["ac0205", "ac02", "80", "", "00007f"], "h string").select(B.block_handle_decode(F.unhex("h"))).collect()]
+    assert tuple(got[0]) == (300, 5, 3) and got[1:4] == [None] * 3 and tuple(got[4]) == (0, 0, 2)
+
+
+def test_filters_of_segments(spark):
+    from varve.operators.filters import BloomPolicy, filtered, segment_filters
+
+    policy = BloomPolicy(10)
+    keys = [(o, f"k{o:06d}".encode() * (1 + o % 3)) for o in range(0, 9000, 37) if not 4096 <= o < 6144]
+    made = segment_filters(rows(spark, [(o, bytearray(k)) for o, k in keys], "offset long, key binary"), policy)
+    by = {r["segment"]: bytes(r["filter"]) for r in made.collect()}
+    assert sorted(by) == [0, 1, 2, 3, 4] and by[2] == bytes(8) + b"\x06" and all(f[-1] == 6 for f in by.values())
+    asked = rows(spark, [(o >> 11, bytearray(k)) for o, k in keys] + [(s, bytearray(b"none%d" % i)) for i in range(200) for s in (0, 2)] + [(9, bytearray(b"x"))], "segment long, key binary")
+    got = filtered(asked, made, policy).collect()
+    assert all(r["may_match"] for r in got if not bytes(r["key"]).startswith((b"none", b"x")))
+    assert not any(r["may_match"] for r in got if r["segment"] in (2, 9)) and sum(r["may_match"] for r in got if bytes(r["key"]).startswith(b"none")) < 20
+    odd = rows(spark, [bytearray(), bytearray(b"\x06"), bytearray(b"\0\x1f"), bytearray(b"\0\x1e"), bytearray(b"\0\0"), bytearray(b"\xff\x06")], "f binary")
+    assert [r[0] for r in odd.select(B.bloom_may_match(F.lit("a"), F.col("f"))).collect()] == [False, False, True, False, True, True]

@@ -334,3 +334,25 @@ def test_a_publish_between_another_ones_write_and_rename(spark, path):
     with pytest.raises(FileExistsError):
         a.write(f"{path}/x", b"first")
     assert b.read(f"{path}/x") == b"second" and [n for n, *_ in b.list(path) if n.startswith("x")] == ["x"]
+
+
+def test_logs_as_rows(spark, path):
+    """A folder of logs, with an offset to start from and rows for damaged places."""
+    import os
+
+    os.makedirs(path)
+    batches = [wal.encode_batch(1 + 3 * n, [(1, b"k%d" % n, bytes(9000)), (0, b"d%d" % n, b""), (1, b"e", b"")]) for n in range(12)]
+    log = bytearray(wal.framed(batches))
+    with open(f"{path}/000001.log", "wb") as f:
+        f.write(log)
+    log[wal.LOG_BLOCK + 20] ^= 1
+    with open(f"{path}/000002.log", "wb") as f:
+        f.write(log)
+    got = wal.read_logs(spark, path).collect()
+    whole = [r for r in got if r["file"] == "000001.log"]
+    assert [(r["seq"], r["vtype"]) for r in whole] == [(i + 1, (1, 0, 1)[i % 3]) for i in range(36)] and not any(r["error"] for r in whole)
+    broken = [r for r in got if r["file"] == "000002.log"]
+    assert any(r["error"] and r["at"] == wal.LOG_BLOCK for r in broken) and 18 < len([r for r in broken if r["seq"]]) < 36
+    later = list(wal.payloads(wal.framed(batches), start=wal.LOG_BLOCK + 5))
+    assert later == batches[-len(later) :] and 0 < len(later) < 12
+    assert wal.read_logs(spark, path, wal.LOG_BLOCK).where("file = '000001.log'").count() == 3 * len(later)

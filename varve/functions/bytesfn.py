@@ -36,9 +36,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def byte_values(b: Column) -> Column:
     """The bytes as an array of longs."""
-    digits = F.hex(b.cast("binary"))
-    each = lambda i: F.conv(F.substring(digits, i * 2 + 1, 2), 16, 10).cast("long")
-    return F.when(F.length(b.cast("binary")) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.length(b.cast("binary"))) - 1), each))
+    data = b.cast("binary")
+    # read as Latin-1, each byte is the character of its number
+    each = lambda text: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(data))), lambda i: F.ascii(F.call_function("substring", text, i, F.lit(1))).cast("long"))
+    return F.when(F.length(data) == 0, F.array().cast("array<bigint>")).otherwise(let(F.decode(data, "ISO-8859-1"), each))
 
 
 def slice_compare(a: Column, b: Column) -> Column:
@@ -145,6 +146,25 @@ def bloom_filter(positions: Column, bits: Column, k: int) -> Column:
     return F.lower(F.concat(F.array_join(F.transform(F.sequence(_long(0), F.floor(bits / 8) - 1), one), ""), F.lpad(F.hex(F.lit(k)), 2, "0")))
 
 
+def bloom_may_match(key: Column, bloom: Column) -> Column:
+    """Whether a key may be in a filter (its bytes, the last one the number of probes).
+
+    A filter of fewer than two bytes holds nothing; one of more than 30 probes is of a kind that is not known yet, and
+    may hold anything.
+    """
+
+    def probed(data: Column, k: Column) -> Column:
+        bits = ((F.length(data) - 1) * 8).cast("long")
+        byte = lambda p: F.ascii(F.call_function("substring", F.decode(data, "ISO-8859-1"), (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))).cast("long")
+        is_set = lambda p: F.call_function("shiftright", byte(p), (p % 8).cast("int")).bitwiseAND(_long(1)) == 1
+        places = lambda h: let(_rotated(h, 17), lambda d: F.transform(F.sequence(_long(0), F.greatest(k, _long(1)) - 1), lambda j: (h + j * d).bitwiseAND(_long(U32)) % bits))
+        return F.when(k > 30, True).when(k == 0, True).otherwise(F.forall(let(hash32(key), places), is_set))
+
+    data = bloom.cast("binary")
+    last = lambda d: F.conv(F.hex(F.call_function("substring", d, F.length(d), F.lit(1))), 16, 10).cast("long")
+    return F.when(F.length(data) < 2, False).otherwise(let(data, lambda d: probed(d, last(d))))
+
+
 def filter_segment(offset: Column) -> Column:
     return F.shiftright(offset, FILTER_BASE_BITS)
 
@@ -170,11 +190,14 @@ def varint_decode(b: Column, most: int = 10) -> Column:
 
 
 def _varint_of(values: Column, most: int) -> Column:
-    n = F.size(F.filter(values, lambda x, i: (i < most) & (F.size(F.filter(F.slice(values, 1, i), lambda y: y < 128)) == 0)))
-    used = F.slice(values, 1, n)
-    value = F.aggregate(F.transform(used, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _long(0), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", p["x"].bitwiseAND(_long(0x7F)), p["i"] * 7)))
-    whole = (n > 0) & (F.element_at(used, -1) < 128)
-    return F.when(whole, F.struct(value.alias("value"), n.alias("used")))
+    """One pass: the value so far, the bytes used, and whether one without the high bit has come."""
+    start = F.struct(_long(0).alias("value"), F.lit(0).alias("used"), F.lit(False).alias("whole"))
+
+    def turn(a: Column, x: Column) -> Column:
+        value = a["value"].bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(_long(0x7F)), a["used"] * 7))
+        return F.when(a["whole"], a).otherwise(F.struct(value.alias("value"), (a["used"] + 1).alias("used"), (x < 128).alias("whole")))
+
+    return let(F.aggregate(F.slice(values, 1, most), start, turn), lambda a: F.when(a["whole"], F.struct(a["value"].alias("value"), a["used"].alias("used"))))
 
 
 def fixed_le(v: Column, width: int) -> Column:
@@ -243,6 +266,25 @@ def footer(meta_offset: Column, meta_size: Column, index_offset: Column, index_s
     return F.concat(F.rpad(F.concat(block_handle(meta_offset, meta_size), block_handle(index_offset, index_size)), 80, "0"), F.lit(magic))
 
 
+def _rest(b: Column, at: Column) -> Column:
+    return F.call_function("substring", b.cast("binary"), at + 1, F.lit(1 << 30))
+
+
+def block_handle_decode(b: Column) -> Column:
+    """(offset, size, used) of the handle that the bytes begin with; null if they end before it does."""
+    whole = lambda x, y: F.struct(x["value"].alias("offset"), y["value"].alias("size"), (x["used"] + y["used"]).alias("used"))
+    return let(varint_decode(b), lambda x: let(varint_decode(_rest(b, x["used"])), lambda y: F.when(x.isNotNull() & y.isNotNull(), whole(x, y))))
+
+
+def footer_decode(b: Column) -> Column:
+    """(meta_offset, meta_size, index_offset, index_size) of a table's last 48 bytes; null if they are not 48, or their magic number or a handle is wrong."""
+    data = b.cast("binary")
+    magic = F.lower(F.hex(_rest(data, F.lit(40)))) == TABLE_MAGIC.to_bytes(8, "little").hex()
+    both = lambda x, y: F.struct(x["offset"].alias("meta_offset"), x["size"].alias("meta_size"), y["offset"].alias("index_offset"), y["size"].alias("index_size"))
+    handles = let(block_handle_decode(data), lambda x: let(block_handle_decode(_rest(data, x["used"])), lambda y: F.when(x.isNotNull() & y.isNotNull(), both(x, y))))
+    return F.when((F.length(data) == 48) & magic, handles)
+
+
 def file_name(number: Column, extension: str) -> Column:
     return F.format_string(f"%06d.{extension}", number)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def replayed(edits: DataFrame) -> DataFrame:
@@ -31,3 +34,14 @@ def obsolete_logs(logs: DataFrame, log_no: int) -> DataFrame:
 def directory_stats(listing: DataFrame) -> DataFrame:
     """Tables, logs and bytes of a listing (name, size)."""
     return listing.agg(F.count_if(F.col("name").endswith(".sst")).alias("n_tables"), F.count_if(F.col("name").endswith(".log")).alias("n_logs"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def live_files(versions: list[DataFrame]) -> DataFrame:
+    """(file_no, level) of the files that any of the versions still needs."""
+    return reduce(DataFrame.unionByName, (v.select("file_no", "level") for v in versions)).distinct()
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """Each level's files by their smallest key, from place 1. File lists are metadata."""
+    order = Window.partitionBy("level").orderBy("smallest", "file_no")
+    return files.select("level", "file_no", "smallest", F.row_number().over(order).cast("long").alias("place"))

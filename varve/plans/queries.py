@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import workloads as W
 from ..functions import bytesfn as B
 from ..model import files_of_parts, fixed_width, mut_of_events, table
-from ..operators import batch, blocks, lsm, manifest, scan, visible
+from ..operators import batch, blocks, filters, lsm, manifest, scan, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -644,3 +644,91 @@ def _(spark, d):
 def _(spark, d):
     churned = W.churn(spark, 5000, 500, 3)
     return lsm.space(churned, lsm.compacted(churned))
+
+
+# Entries of a run, 16 bytes apart, and the filters of their segments.
+ENTRIES = f"{MUT}, keys AS (SELECT key FROM mut), {_hash16_sql('key')}, entries AS (SELECT (seq * 16) >> 11 AS segment, key FROM mut)"
+SEGMENTS = f"""{ENTRIES}, size AS (SELECT segment, (greatest(64, count(*) * {BLOOM_BITS_PER_KEY}) + 7) // 8 * 8 AS bits FROM entries GROUP BY segment),
+    own AS (SELECT DISTINCT segment, bits, CAST(((h + j * (((h >> 17) | (h << 15)) & {B.U32})) & {B.U32}) % bits AS BIGINT) AS bit FROM entries JOIN size USING (segment) JOIN h4 USING (key), range(6) t(j))"""
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return _mut(spark, d).select((F.col("seq") * 16).alias("offset"), "key")
+
+
+@query("lsm_segment_filter_bits", f"WITH {SEGMENTS} SELECT segment, bits, bit FROM own")
+def _(spark, d):
+    own = _entries(spark, d).select(B.filter_segment(F.col("offset")).alias("segment"), "key")
+    return filters.BloomPolicy(BLOOM_BITS_PER_KEY).bits(own, "segment")
+
+
+@query(
+    "lsm_segment_filters",
+    f"""WITH {SEGMENTS}, octets AS (SELECT segment, bits, bit >> 3 AS nth, CAST(sum(1 << (bit % 8)) AS BIGINT) AS octet FROM own GROUP BY segment, bits, bit >> 3),
+    each AS (SELECT segment, bits, unnest(range(bits // 8)) AS nth FROM size)
+    SELECT segment, lower(string_agg(printf('%02x', coalesce(octet, 0)), '' ORDER BY nth)) || '06' AS filter FROM each LEFT JOIN octets USING (segment, bits, nth) GROUP BY segment""",
+)
+def _(spark, d):
+    made = filters.segment_filters(_entries(spark, d), filters.BloomPolicy(BLOOM_BITS_PER_KEY))
+    return made.select("segment", F.lower(F.hex("filter")).alias("filter"))
+
+
+@query(
+    "lsm_segment_probe",
+    f"""WITH {MUT}, asked AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS key, c_custkey % 12 AS segment FROM customer),
+    keys AS (SELECT key FROM mut UNION SELECT key FROM asked), {_hash16_sql('key')}, entries AS (SELECT (seq * 16) >> 11 AS segment, key FROM mut),
+    size AS (SELECT segment, (greatest(64, count(*) * {BLOOM_BITS_PER_KEY}) + 7) // 8 * 8 AS bits FROM entries GROUP BY segment),
+    own AS (SELECT DISTINCT segment, CAST(((h + j * (((h >> 17) | (h << 15)) & {B.U32})) & {B.U32}) % bits AS BIGINT) AS bit FROM entries JOIN size USING (segment) JOIN h4 USING (key), range(6) t(j)),
+    probes AS (SELECT key, segment, CAST(((h + j * (((h >> 17) | (h << 15)) & {B.U32})) & {B.U32}) % bits AS BIGINT) AS bit FROM asked JOIN size USING (segment) JOIN h4 USING (key), range(6) t(j)),
+    hit AS (SELECT key, segment, bool_and(own.bit IS NOT NULL) AS may_match FROM probes LEFT JOIN own USING (segment, bit) GROUP BY key, segment)
+    SELECT key, segment, coalesce(may_match, false) AS may_match FROM asked LEFT JOIN hit USING (key, segment)""",
+)
+def _(spark, d):
+    policy = filters.BloomPolicy(BLOOM_BITS_PER_KEY)
+    asked = table(spark, d, "customer").select(fixed_width(F.col("c_custkey")).alias("key"), (F.col("c_custkey") % 12).alias("segment"))
+    return filters.filtered(asked, filters.segment_filters(_entries(spark, d), policy), policy)
+
+
+def _varint_pair_sql(x: str) -> str:
+    return "(" + _varint_sql(x) + ")"
+
+
+@query("fn_block_handle", f"WITH h AS (SELECT l_orderkey, l_linenumber, l_orderkey * 131 AS a, l_partkey * l_suppkey AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {_varint_pair_sql('a')} || {_varint_pair_sql('b')} AS digits, a AS offset, b AS size, CAST({_varint('a')} + {_varint('b')} AS INTEGER) AS used FROM h")
+def _(spark, d):
+    handle = B.block_handle(F.col("l_orderkey") * 131, F.col("l_partkey") * F.col("l_suppkey"))
+    made = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", handle.alias("digits")).withColumn("h", B.block_handle_decode(F.unhex("digits")))
+    return made.select("l_orderkey", "l_linenumber", "digits", "h.offset", "h.size", "h.used")
+
+
+_MAGIC = B.TABLE_MAGIC.to_bytes(8, "little").hex()
+
+
+@query(
+    "fn_footer",
+    f"""WITH f AS (SELECT p_partkey, p_partkey * 4096 AS a, p_size AS b, p_partkey * 4097 + 7 AS c, p_partkey % 300 AS d FROM part)
+    SELECT p_partkey, rpad({_varint_pair_sql('a')} || {_varint_pair_sql('b')} || {_varint_pair_sql('c')} || {_varint_pair_sql('d')}, 80, '0') || '{_MAGIC}' AS digits,
+    CASE WHEN p_partkey % 5 > 0 THEN a END AS meta_offset, CASE WHEN p_partkey % 5 > 0 THEN CAST(b AS BIGINT) END AS meta_size, CASE WHEN p_partkey % 5 > 0 THEN c END AS index_offset, CASE WHEN p_partkey % 5 > 0 THEN d END AS index_size FROM f""",
+)
+def _(spark, d):
+    n = F.col("p_partkey")
+    digits = B.footer(n * 4096, F.col("p_size").cast("long"), n * 4097 + 7, n % 300)
+    # every fifth one is read with its magic number damaged
+    stored = F.unhex(F.when(n % 5 > 0, F.col("digits")).otherwise(F.concat(F.substring("digits", 1, 94), F.lit("00"))))
+    made = table(spark, d, "part").select(n, digits.alias("digits")).withColumn("f", B.footer_decode(stored))
+    return made.select(n, "digits", "f.meta_offset", "f.meta_size", "f.index_offset", "f.index_size")
+
+
+@query("manifest_live_files", f"WITH {REPLAYED} SELECT file_no, level FROM alive UNION SELECT file_no, level FROM files WHERE file_no % 4 <> 0")
+def _(spark, d):
+    files = _files(spark, d)
+    return manifest.live_files([manifest.replayed(_edits(files)), files.where("file_no % 4 <> 0")])
+
+
+@query("manifest_files_in_order", f"WITH {FILES} SELECT level, file_no, smallest, row_number() OVER (PARTITION BY level ORDER BY smallest, file_no) AS place FROM files")
+def _(spark, d):
+    return manifest.in_order(_files(spark, d))
+
+
+@query("lsm_block_index", f"{ORACLE_SQL['lsm_block_cut'].replace('SELECT file_no, place, bytes, block FROM r', '').rstrip()} SELECT file_no, block, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(place) AS last_place FROM r GROUP BY file_no, block")
+def _(spark, d):
+    return blocks.block_index(QUERIES["lsm_block_cut"](spark, d))
