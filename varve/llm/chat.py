@@ -13,7 +13,8 @@ Loss mask: the texts of assistant turns.
 
 Defined results: null roles and texts are empty; turns come in the order of (turn, role, text), so ties and
 repeated rows keep their rows in a fixed order; a null id is an id of its own; a conversation without turns in
-an array layout has no turns; an empty table gives an empty result. One conversation is one output row.
+an array layout has no turns; an empty table gives an empty result. One conversation is one output row, and its texts of
+any length are formatted whole in one task's memory. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
