@@ -10,17 +10,18 @@ one. A context travels as two hashes of 64 bits, of its owner and of all its byt
 a task's slice are merged before the shuffle, so copies and common passages send one row a slice.
 
 Resolving. Contexts are dealt by owner and sorted. A context alone with its owner is new. All but the first of equal
-contexts repeat as a whole. Owners with different contexts need the bytes: the first of each is read again.
+contexts repeat as a whole. Owners with different contexts need the bytes: the first of each is read again. Owners of
+more than HOT contexts, counted before, are not dealt by owner: aggregates by owner and context settle them.
 
-Index. Groups of such contexts, about a MB together, are sorted into a Burrows-Wheeler transform, kept as runs: the
+Index. Groups of such contexts, a MB or a few together, are sorted into a Burrows-Wheeler transform. Only its runs are kept: the
 runs' starts and characters, the rank of each run's first row, the text places sampled at run ends, and the rows where
 a match with the row before is shorter than LENGTH. Contexts are streamed through it from their last byte
 to their first, all at once, one step of the LF mapping each: a row's matching statistic says whether it matches
 another suffix for LENGTH bytes or more, and the first place of such a class says whether one starts earlier. Those are
 the long matches that are marked. A walk's place is checked against the samples wherever it meets a run end.
 
-A group of more than HOT contexts is not indexed: its windows are hashed to 128 bits one by one and their first
-places found by an aggregate, so no owner is unbounded in a task.
+An owner of more than HOT different contexts, which are more than an index takes, is not indexed: its windows are hashed
+to 128 bits one by one and their first places found by an aggregate, so no owner is unbounded in a task.
 
 Defined results: a null text is empty; texts shorter than LENGTH stay whole; rows of equal doc_id are places in the
 same document, so equal rows are not earlier than each other and get equal results; an empty table gives an
@@ -43,10 +44,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text whose windows are hashed at once, contexts of a slice, and bytes of contexts indexed together.
-TEXT, CONTEXTS, INDEXED = 1 << 18, 1 << 17, 1 << 20
-#: Contexts of one owner from which they are compared by window.
-HOT = 1 << 15
+#: Bytes of text whose windows are hashed at once, contexts of a slice, bytes of contexts indexed together, and most bytes of one owner's.
+TEXT, CONTEXTS, INDEXED, LARGEST = 1 << 18, 1 << 17, 1 << 20, 3 << 20
+#: Contexts of one owner from which they are compared by window: what LARGEST bytes hold of the longest ones.
+HOT = LARGEST // (2 * LENGTH - GRAM)
+#: Owners of more contexts than HOT that are broadcast, 8 bytes each.
+HEAVY = 1 << 20
 _RANDOM = np.random.default_rng(20240229)
 BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = _RANDOM.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,7 +247,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
             if n_open > most:  # what is held goes on, so that no more contexts than that are
                 hot = True
                 yield rows(WINDOWS, *np.concatenate(open_, axis=1)[:5])
-                open_, n_open = [g[:, -1:]], 0  # the owner, for what comes; a row that is sent again does no harm, as windows are made distinct
+                open_, n_open = [g[:, -1:]], 0  # the owner, for what comes; a row that is sent again does no harm: its windows are the same places
     yield from _close(rows, open_, hot)
 
 
@@ -272,7 +275,6 @@ class RunLengthIndex:
         before = symbols[suffixes - 1]
         change = np.concatenate(([True], before[1:] != before[:-1]))
         self.starts = np.flatnonzero(change)
-        self.run_of = np.cumsum(change, dtype=np.int32) - 1  # a directory from rows to runs; a bucket has few enough rows
         self.chars = before[self.starts]
         lengths = np.diff(np.append(self.starts, len(before)))
         order = np.argsort(self.chars, kind="stable")
@@ -282,7 +284,7 @@ class RunLengthIndex:
         self.samples = suffixes[self.starts], suffixes[self.starts + lengths - 1]
         beyond = np.minimum(suffixes + rest, len(symbols) - 1)
         short = (half[suffixes][1:] != half[suffixes][:-1]) | (half[beyond][1:] != half[beyond][:-1])
-        self.class_of = np.cumsum(np.concatenate(([False], short)), dtype=np.int32)
+        self.cuts = np.flatnonzero(short) + 1  # the rows where a class of equal long matches begins, but for the first
 
     @staticmethod
     def _sorted(symbols: np.ndarray, top: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -312,29 +314,26 @@ class RunLengthIndex:
             key = (old << 32) | np.where(beyond < n, rank[np.minimum(beyond, n - 1)], 0)
             width *= 2
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """LF: the rows of the suffixes one byte longer."""
-        run = self.run_of[rows]
-        return self.moves[run] + rows
+    def runs(self, rows: np.ndarray) -> np.ndarray:
+        """The runs that rows lie in."""
+        return np.searchsorted(self.starts, rows, side="right") - 1
 
     def streamed(self) -> tuple[np.ndarray, np.ndarray]:
         """Each string's rows from its last byte to its first: (place in the text, class of equal long matches)."""
-        m = len(self.sizes)
-        rows, places, classes = np.arange(m), [], []
         order = np.argsort(-self.sizes, kind="stable")
-        rows, begin, sizes = rows[order], self.begin[order], self.sizes[order]
+        rows, begin, sizes = order, self.begin[order], self.sizes[order]
+        run, places, seen = self.runs(rows), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first, final = self.samples
-        for t in range(1, int(sizes[0]) + 1 if m else 0):
+        for t in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
             active = int(np.searchsorted(-sizes, -t, side="right"))
-            rows = self.step(rows[:active])
-            begin, sizes = begin[:active], sizes[:active]
+            rows = rows[:active] + self.moves[run[:active]]  # LF: the suffixes one byte longer
+            run, begin, sizes = self.runs(rows), begin[:active], sizes[:active]
             place = begin + sizes - t
-            run = self.run_of[rows]
             if not ((self.starts[run] != rows) | (first[run] == place)).all():
                 raise AssertionError("a walk left its text")
             places.append(place)
-            classes.append(self.class_of[rows])
-        return np.concatenate([*places, np.zeros(0, np.int64)]), np.concatenate([*classes, np.zeros(0, np.int64)])
+            seen.append(rows)
+        return np.concatenate(places), np.searchsorted(self.cuts, np.concatenate(seen), side="right")
 
 
 def long_matches(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +344,7 @@ def long_matches(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.nd
     offset = place - index.begin[string]
     own = offset < n[string]
     place, kind, string, offset = place[own], kind[own], string[own], offset[own]
-    first = np.full(int(index.class_of[-1]) + 1, np.iinfo(np.int64).max)
+    first = np.full(len(index.cuts) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, kind, place)
     there = first[kind]
     of = np.searchsorted(index.begin, there, side="right") - 1
@@ -384,45 +383,68 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run()
 
 
-def _read(kind: int):
-    """The bytes of each document's contexts; of each window by itself, as two hashes, for owners with too many."""
+FETCHED = {"kind": pa.int32(), "h": pa.int64(), "doc_id": pa.int64(), "crc": pa.int32(), "lo": pa.int32(), "n": pa.int32(), "context": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, crc, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for f in found:
-                    a, n = f["lo"], f["n"]
-                    if kind == INDEX:
-                        out.append((f["h"], doc_id, crc, a, n, text[a : a + n + LENGTH - 1]))
-                    else:
-                        out += [(xxhash.xxh3_64_intdigest(w) - (1 << 63), xxhash.xxh3_64_intdigest(w, 1) - (1 << 63), doc_id, crc, s) for s in range(a, a + n) for w in (text[s : s + LENGTH],)]
-            names, kinds = (["h", "doc_id", "crc", "lo", "n", "context"], [*RESOLVED_KINDS[1:], pa.binary()]) if kind == INDEX else (["h", "c", "doc_id", "crc", "lo"], [pa.int64(), *RESOLVED_KINDS[1:5]])
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each document's contexts that are asked for."""
+    for b in batches:
+        out = [(f["kind"], f["h"], doc_id, crc, f["lo"], f["n"], text[f["lo"] : f["lo"] + f["n"] + LENGTH - 1]) for doc_id, crc, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True) for f in found]
+        columns = zip(*out, strict=True) if out else [[]] * len(FETCHED)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, FETCHED.values(), strict=True)], names=list(FETCHED))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the contexts (doc_id, crc, lo, n, context) by itself, as two hashes."""
+    names, kinds = ["h", "c", "doc_id", "crc", "lo"], [pa.int64(), *RESOLVED_KINDS[1:5]]
+    for b in batches:
+        out = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), xxhash.xxh3_64_intdigest(w, 1) - (1 << 63), doc_id, crc, lo + s) for doc_id, crc, lo, n, context in zip(*(c.to_pylist() for c in b.columns), strict=True) for s in range(n) for w in (context[s : s + LENGTH],)]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _fetch(documents: DataFrame, resolved: DataFrame, kind: int) -> DataFrame:
-    wanted = resolved.where(F.col("kind") == kind).groupBy(F.col("doc_id").alias("id"), F.col("crc").alias("sum")).agg(F.collect_list(F.struct("h", "lo", "n")).alias("found"))
+def _fetch(documents: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The contexts of `resolved` that are to be indexed or cut into windows, with their bytes: one join of the documents for both."""
+    wanted = resolved.where(F.col("kind") != COVERED).groupBy(F.col("doc_id").alias("id"), F.col("crc").alias("sum")).agg(F.collect_list(F.struct("kind", "h", "lo", "n")).alias("found"))
     there = documents.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("crc") == F.col("sum"))).select("doc_id", "crc", "text", "found")
-    schema = "h long, doc_id long, crc int, lo int, n int, context binary" if kind == INDEX else "h long, c long, doc_id long, crc int, lo int"
-    return there.mapInArrow(_read(kind), schema)
+    return there.mapInArrow(_read, "kind int, h long, doc_id long, crc int, lo int, n int, context binary")
+
+
+def _resolved_heavy(found: DataFrame, hot: int, n_owners: int) -> DataFrame:
+    """What _resolve gives for owners of many contexts, by aggregates: no owner's contexts meet in one task."""
+    place = F.struct("doc_id", "lo")
+    first = written(found.groupBy("h", "c").agg(F.min(place).alias("first")), "first")
+    sizes = first.groupBy("h").agg(F.count("*").alias("contexts"))
+    kind = F.when(place > F.col("first"), COVERED).when(F.col("contexts") > hot, WINDOWS).when(F.col("contexts") > 1, INDEX)
+    rows = found.join(first, ["h", "c"]).join(F.broadcast(sizes) if n_owners <= HEAVY else sizes, "h").withColumn("kind", kind).where("kind is not null")
+    n = F.when(F.col("kind") == COVERED, F.col("n") + LENGTH - 1).otherwise(F.col("n"))
+    return rows.select(F.col("kind").cast("int").alias("kind"), "h", "doc_id", "crc", "lo", n.cast("int").alias("n"))
 
 
 def covered_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, crc, lo, n): runs of bytes to remove, which may overlap; documents are (doc_id long, text binary, crc)."""
     small_batches(documents.sparkSession)
-    found = documents.select("doc_id", "text").mapInArrow(_find, FOUND_SCHEMA)
-    dealt = found.repartition("h").sortWithinPartitions("h", "c", "doc_id", "lo")
-    resolved = written(dealt.mapInArrow(lambda batches: _resolve(batches, hot), RESOLVED_SCHEMA), "resolved")
-    indexed = _fetch(documents, resolved, INDEX).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "crc", "lo", "n", "context").mapInArrow(_match, COVERS_SCHEMA)
+    found = written(documents.select("doc_id", "text").mapInArrow(_find, FOUND_SCHEMA), "contexts")
+    heavy = written(found.where("not whole").groupBy("h").count().where(F.col("count") > hot).select("h"), "heavy")
+    n_heavy = heavy.count()
+    cold = found
+    if n_heavy:
+        heavy = F.broadcast(heavy) if n_heavy <= HEAVY else heavy
+        cold = found.where("whole").unionByName(found.where("not whole").join(heavy, "h", "left_anti"))
+    dealt = cold.repartition("h").sortWithinPartitions("h", "c", "doc_id", "lo")
+    resolved = dealt.mapInArrow(lambda batches: _resolve(batches, hot), RESOLVED_SCHEMA)
+    if n_heavy:
+        resolved = resolved.unionByName(_resolved_heavy(found.where("not whole").join(heavy, "h"), hot, n_heavy))
+    resolved = written(resolved, "resolved")
+    fetched = written(_fetch(documents, resolved), "fetched")
+    indexed = fetched.where(F.col("kind") == INDEX).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "crc", "lo", "n", "context").mapInArrow(_match, COVERS_SCHEMA)
     out = resolved.where(F.col("kind") == COVERED).select(*COVERS).unionByName(written(indexed, "matched"))
-    if not resolved.where(F.col("kind") == WINDOWS).isEmpty():
-        windows = written(_fetch(documents, resolved, WINDOWS).distinct(), "windows")
+    crowded = fetched.where(F.col("kind") == WINDOWS)
+    if not crowded.isEmpty():
+        windows = written(crowded.select("doc_id", "crc", "lo", "n", "context").mapInArrow(_windows, "h long, c long, doc_id long, crc int, lo int"), "windows")
         first = windows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last")).where("first < last")
-        again = windows.join(first, ["h", "c"]).where(F.struct("doc_id", "lo") > F.col("first"))
+        # written first, so that its size is known when the join is planned
+        again = windows.join(written(first.select("h", "c", "first"), "repeated"), ["h", "c"]).where(F.struct("doc_id", "lo") > F.col("first"))
         out = out.unionByName(again.select("doc_id", "crc", "lo", F.lit(LENGTH).alias("n")))
     return out
 
