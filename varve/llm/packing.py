@@ -142,8 +142,8 @@ def _rows(shards: list[int], items: list[int], bins: list[int], offsets: list[in
 def pack(cut: DataFrame, length: int = LENGTH, most_open: int = OPEN, shard: int = SHARD, merged: int = MERGED) -> DataFrame:
     """`pieces` with sequence_id and offset."""
     schema = "shard long, item long, bin long, offset long, filled long"
-    # a row's item is its place in a written table, so it stays the same when a lost task runs again
-    rows = written(written(cut, "pieces").withColumn("item", F.monotonically_increasing_id()), "items")
+    # a row's item is its place where it is written, so it stays the same when a lost task runs again
+    rows = written(cut.withColumn("item", F.monotonically_increasing_id()), "items")
     total = rows.count()
     n = -(-total // shard) or 1
     order = F.xxhash64("doc_id", "piece", "tie")
