@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -95,6 +97,30 @@ def test_top_k_of_repeats_and_large_values(spark):
     assert len(got) == 4 and {r["vec_id"] for r in got} <= {1, 2} and max(r["score"] for r in got) == (1 << 63) - 1
 
 
+def test_top_k_of_repeats_by_value(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-3, 4, 6).astype(float).tolist()) for i in rng.integers(0, 40, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    floor = [(i, [int(1024 * x) for x in v]) for i, v in rows]
+    want = collections.Counter()
+    for q, v in floor:
+        if q % 10 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in floor if i != q)
+            want.update((q, n + 1, i, -x) for n, (x, i) in enumerate(scores[:10]))
+    assert collections.Counter(tuple(r) for r in topk.exact_top_k(df.where("vec_id % 10 = 0"), df, 10).collect()) == want
+
+
+def test_top_k_by_groups_of_queries(spark, monkeypatch):
+    """Small blocks, and groups of query blocks that are broadcast one after another."""
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.1, 8).astype(np.float32).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = topk.exact_top_k(df.where("vec_id % 10 = 0"), df, 7, group=1000).collect()
+    assert {tuple(r) for r in got} == brute_top_k(rows, lambda i: i % 10 == 0, 7) and len(got) == 280
+
+
 def test_top_k_on_table(spark):
     table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert {tuple(r) for r in topk.op1_exact_top_k(spark, SF).collect()} == brute_top_k(table, lambda i: i % 100 == 0, 10)
@@ -138,6 +164,16 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, body string"))
 
 
+def test_chat_of_nothing_and_of_long_texts(spark):
+    schema = "conv_id long, turn int, role string, text string, h int, turns string, formatted int"
+    none = chat.format_conversations(spark.createDataFrame([], schema))
+    assert none.columns == ["conv_id", "turns", "formatted"] and none.count() == 0
+    long_ = "<|end|> \\ [INST] é\n" * 200_000
+    df = spark.createDataFrame([(1, 0, "user", long_, 1, "x", 2), (1, 1, "assistant", "ok", 1, "x", 2), (2, None, None, None, None, None, None)], schema)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in chat.format_conversations(df).select("conv_id", chat.read_back(F.col("formatted")).alias("back")).collect()}
+    assert got == {1: [("user", long_), ("assistant", "ok")], 2: [("", "")]}
+
+
 def test_chat_on_table(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     convs = collections.defaultdict(list)
@@ -307,9 +343,49 @@ def test_word_tokenizer(text):
     assert np.frombuffer(t(text), "<u4").tolist() == t.model.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_on_all_letters():
+    """Every letter with marks after it: some end in a combining mark once they are lower-cased or composed."""
+    t = WordTokenizer(default_path())
+    letters = [chr(c) for c in range(0x80, 0x32400) if chr(c).isalpha()]
+    assert len(letters) > 100_000
+    for a in range(0, len(letters), 2000):
+        for form in ("{}!!", "x{}.", "A{}?;", "{}"):
+            text = " ".join(form.format(x) for x in letters[a : a + 2000])
+            assert np.frombuffer(t(text), "<u4").tolist() == t.model.encode(text, add_special_tokens=False).ids
+    t.pieces.clear()
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice([" ", ".", "!!", "\n", "\u0307", "\u0130", "e\u0301", "\u095a", "a", "Z", "\u00df", "'s", "7", chr(rng.randrange(0x20, 0xD7FF)), chr(rng.randrange(0xE000, 0x1FFFF))]) for _ in range(rng.randrange(60)))
+        assert np.frombuffer(t(text), "<u4").tolist() == t.model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # 5
 
 
+def test_features_by_a_plain_transform(spark):
+    """Peaks and pairs against a transform written out sum by sum."""
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(32, 127, 900, dtype=np.uint8)).decode()
+    x = [b - 128 for b in media.padded(text.encode())]
+    n = max(1, -(-(len(x) - media.WINDOW) // media.HOP) + 1)
+    bins = []
+    for w in range(n):
+        own = [x[i] if i < len(x) else 0 for i in range(w * media.HOP, w * media.HOP + media.WINDOW)]
+        mean = sum(own) / media.WINDOW
+        own = [(v - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (media.WINDOW - 1))) for i, v in enumerate(own)]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * f * i / media.WINDOW), -math.sin(2 * math.pi * f * i / media.WINDOW)) for i, v in enumerate(own))) ** 2 for f in range(media.WINDOW // 2 + 1)]
+        bins.append(max(range(media.LOWEST, len(power)), key=lambda f: power[f]))
+    want = sorted((w, bins[w] << 12 | bins[w + g] << 2 | g) for w in range(n) for g in range(1, media.FAN + 1) if w + g < n)
+    want.append((n - 1, bins[-1] << 12))
+    (row,) = media.media_columns(docs(spark, [(1, text, None, None)])).collect()
+    assert [(p["at"], p["code"]) for p in row["fingerprint"]] == want
+
+
+def test_media_of_a_long_text():
+    at, code = media.pairs(media.peaks(bytes(range(256)) * (1 << 15)))  # 8 MB
+    assert len(at) == len(code) == 2 * 65535 - 2 and at.dtype == np.int32
+
+
 def test_media(spark, odd_rows):
     got = media.media_columns(docs(spark, odd_rows)).collect()
     assert len(got) == len(odd_rows)
@@ -342,7 +418,7 @@ def test_media_query_stores_the_media(spark, monkeypatch):
     for r in rows:
         back, data = media.from_wav(bytes(r["media"])), (texts[r["doc_id"]] or "").encode()
         assert back == media.padded(data) and hashlib.sha256(bytes(r["media"])).hexdigest() == got[r["doc_id"]]["media_sha256"]
-        feature = " ".join(f"{a}:{c}" for a, c in media.pairs(media.peaks(back)))
+        feature = " ".join(f"{a}:{c}" for a, c in zip(*media.pairs(media.peaks(back)), strict=True))
         assert feature == got[r["doc_id"]]["feature"] and len(data) == got[r["doc_id"]]["n_bytes"]
 
 
@@ -506,6 +582,15 @@ def test_token_counts(spark, odd_rows):
     assert tokencounts.flat_files(docs(spark, odd_rows).limit(0))[0].count() == 0
 
 
+def test_token_counts_of_a_text_over_many_blocks(spark):
+    rows = [(1, words(random.Random(1), 200_000), None, None), (2, "a b", None, None), (3, None, None, None)]
+    blocks, separator, kind = tokencounts.flat_files(docs(spark, rows).coalesce(1), block=64)
+    counts = tokencounts.separator_scan(blocks, separator, kind)
+    got = dict(tuple(r) for r in tokencounts._ids(blocks).join(counts, ["file", "block", "ordinal"]).select("doc_id", "n_tokens").collect())
+    t = WordTokenizer(default_path())
+    assert got == {i: len(t(x)) // 4 for i, x, *_ in rows}
+
+
 def test_separator_scan(spark, monkeypatch):
     """Boundaries are stitched over blocks and over groups of blocks, with empty documents and blocks without separators."""
     monkeypatch.setattr(tokencounts, "GROUP", 3)
@@ -564,6 +649,14 @@ def test_mix(spark, odd_rows):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_texts(df.limit(0)).count() == 0
 
 
+def test_mix_of_empty_texts(spark):
+    """A source without a word is dealt over shards by its rows."""
+    df = docs(spark, [(i % 50, None if i % 2 else "", None, "e") for i in range(400)] + [(i, "a b c", None, "w") for i in range(100)])
+    got = mixing.mix(df, rows=20).collect()
+    assert len(got) == 500 and all(r["taken"] == 0 and r["target"] == 0 for r in got if r["source"] == "e")
+    assert abs(sum(r["taken"] for r in got) - 450) <= mixing.BLOCK * 5 and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_sainte_lague():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -593,6 +686,36 @@ def test_language_id(spark, odd_rows):
     assert langid.fit(docs(spark, odd_rows).limit(0)) == {} and langid.predict(docs(spark, odd_rows), {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_out_of_place_distance(spark):
+    """Profiles, distances and scores against the definition, word by word."""
+    rows = [(i, words(random.Random(i), 3 + 4 * i, 60), ("en", "fr", "de")[i % 3], None) for i in range(30)] + [(90, "Straße ½ naïve x2y été!", None, None), (91, "a_b c", None, None)]
+
+    def profile(texts):
+        n = collections.Counter()
+        for text in texts:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                for part in "".join(c if c.isalpha() else " " for c in w).split():
+                    w_ = f"_{part}_"
+                    n.update(w_[i : i + k] for k in (1, 2, 3) for i in range(len(w_) - k + 1) if w_[i : i + k] != "_")
+        return sorted(n, key=lambda g: (-n[g], [len(g), *map(ord, g)]))[: langid.PROFILE]
+
+    learned = {lang: profile([t for _, t, own, _ in rows if own == lang]) for lang in ("de", "en", "fr")}
+    for r in langid.predict(docs(spark, rows), langid.fit(docs(spark, rows))).collect():
+        own = profile([r["text"]])
+        far = {lang: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in learned.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert (r["lang_pred"], r["score"]) == (best, pytest.approx(1 - far[best] / (langid.PROFILE * len(own))))
+
+
+def test_languages_among_null_and_repeated_texts(spark):
+    """Labelled rows without a text, and many equal ones, take no other row's place."""
+    rows = [(1, "sole texte de cette langue", "fr", None)] + [(2, "the same row", "en", None)] * 3000 + [(10 + i, f"another row {i}", "en", None) for i in range(40)]
+    df = docs(spark, rows).select("doc_id", "text", "lang").unionByName(spark.range(20_000).selectExpr("id AS doc_id", "string(null) AS text", "'fr' AS lang"))
+    got = collections.Counter(r["lang"] for r in langid.drawn(df, 20).collect())
+    assert got == {"fr": 1, "en": 20}
+    assert set(langid.fit(df)) == {"fr", "en"} and set(langid.fit(df, languages=1)) == {"en"}
+
+
 # 10
 
 
@@ -622,6 +745,22 @@ def test_line_dedup(spark, odd_rows):
     assert linededup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    text = "\n".join(f"line {i % 1000}" for i in range(128_000))
+    start = time.monotonic()
+    got = {r["doc_id"]: tuple(r["line_dedup"]) for r in linededup.line_dedup(docs(spark, [(1, text, None, None), (2, text, None, None)])).collect()}
+    assert got == {1: (128_000, 127_000), 2: (128_000, 128_000)} and time.monotonic() - start < 60
+
+
+def test_line_dedup_of_hot_windows(spark, monkeypatch):
+    rows = [(i, f"a\nb\nc\nd\nx{i % 7}\ny{i % 5}", None, None) for i in range(80)]
+    want = brute_lines([(r[0], r[1]) for r in rows])
+    for hot in (0.5, 4, 1000):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        got = linededup.line_dedup(docs(spark, rows)).collect()
+        assert collections.Counter((r["doc_id"], r["text"], r["line_dedup"]["n_lines"], r["line_dedup"]["n_removed"]) for r in got) == want
+
+
 # The registered queries
 
 
@@ -631,7 +770,7 @@ def test_sql(spark):
     from varve.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, SF)
