@@ -266,23 +266,32 @@ def footer(meta_offset: Column, meta_size: Column, index_offset: Column, index_s
     return F.concat(F.rpad(F.concat(block_handle(meta_offset, meta_size), block_handle(index_offset, index_size)), 80, "0"), F.lit(magic))
 
 
-def _rest(b: Column, at: Column) -> Column:
-    return F.call_function("substring", b.cast("binary"), at + 1, F.lit(1 << 30))
+def varints_decode(b: Column, count: int) -> Column:
+    """(found, used) of the `count` varints that the bytes begin with, in one pass; null if they end before, or one is over 10 bytes."""
+    start = F.struct(F.array().cast("array<bigint>").alias("found"), _long(0).alias("value"), F.lit(0).alias("shift"), F.lit(0).alias("used"))
+
+    def turn(a: Column, x: Column) -> Column:
+        value, ends = a["value"].bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(_long(0x7F)), a["shift"])), x < 128
+        found = F.when(ends, F.concat(a["found"], F.array(value))).otherwise(a["found"])
+        more = F.struct(found.alias("found"), F.when(ends, _long(0)).otherwise(value).alias("value"), F.when(ends, 0).otherwise(a["shift"] + 7).alias("shift"), (a["used"] + 1).alias("used"))
+        return F.when((F.size(a["found"]) == count) | (a["shift"] > 63), a).otherwise(more)
+
+    whole = lambda a: F.when(F.size(a["found"]) == count, F.struct(a["found"].alias("found"), a["used"].alias("used")))
+    return let(F.aggregate(F.slice(byte_values(b), 1, 10 * count), start, turn), whole)
 
 
 def block_handle_decode(b: Column) -> Column:
     """(offset, size, used) of the handle that the bytes begin with; null if they end before it does."""
-    whole = lambda x, y: F.struct(x["value"].alias("offset"), y["value"].alias("size"), (x["used"] + y["used"]).alias("used"))
-    return let(varint_decode(b), lambda x: let(varint_decode(_rest(b, x["used"])), lambda y: F.when(x.isNotNull() & y.isNotNull(), whole(x, y))))
+    part = lambda x: F.when(x.isNotNull(), F.struct(x["found"][0].alias("offset"), x["found"][1].alias("size"), x["used"].alias("used")))
+    return let(varints_decode(b, 2), part)
 
 
 def footer_decode(b: Column) -> Column:
     """(meta_offset, meta_size, index_offset, index_size) of a table's last 48 bytes; null if they are not 48, or their magic number or a handle is wrong."""
-    data = b.cast("binary")
-    magic = F.lower(F.hex(_rest(data, F.lit(40)))) == TABLE_MAGIC.to_bytes(8, "little").hex()
-    both = lambda x, y: F.struct(x["offset"].alias("meta_offset"), x["size"].alias("meta_size"), y["offset"].alias("index_offset"), y["size"].alias("index_size"))
-    handles = let(block_handle_decode(data), lambda x: let(block_handle_decode(_rest(data, x["used"])), lambda y: F.when(x.isNotNull() & y.isNotNull(), both(x, y))))
-    return F.when((F.length(data) == 48) & magic, handles)
+    data, names = b.cast("binary"), ("meta_offset", "meta_size", "index_offset", "index_size")
+    magic = F.lower(F.hex(F.call_function("substring", data, F.lit(41), F.lit(8)))) == TABLE_MAGIC.to_bytes(8, "little").hex()
+    handles = lambda x: F.when(x.isNotNull(), F.struct(*(x["found"][i].alias(name) for i, name in enumerate(names))))
+    return F.when((F.length(data) == 48) & magic, let(varints_decode(data, 4), handles))
 
 
 def file_name(number: Column, extension: str) -> Column:

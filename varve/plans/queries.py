@@ -693,11 +693,11 @@ def _varint_pair_sql(x: str) -> str:
     return "(" + _varint_sql(x) + ")"
 
 
-@query("fn_block_handle", f"WITH h AS (SELECT l_orderkey, l_linenumber, l_orderkey * 131 AS a, l_partkey * l_suppkey AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {_varint_pair_sql('a')} || {_varint_pair_sql('b')} AS digits, a AS offset, b AS size, CAST({_varint('a')} + {_varint('b')} AS INTEGER) AS used FROM h")
+@query("fn_block_handle", f"WITH h AS (SELECT o_orderkey, o_orderkey * 131 AS a, o_custkey * 977 AS b FROM orders) SELECT o_orderkey, {_varint_pair_sql('a')} || {_varint_pair_sql('b')} AS digits, a AS offset, b AS size, CAST({_varint('a')} + {_varint('b')} AS INTEGER) AS used FROM h")
 def _(spark, d):
-    handle = B.block_handle(F.col("l_orderkey") * 131, F.col("l_partkey") * F.col("l_suppkey"))
-    made = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", handle.alias("digits")).withColumn("h", B.block_handle_decode(F.unhex("digits")))
-    return made.select("l_orderkey", "l_linenumber", "digits", "h.offset", "h.size", "h.used")
+    handle = B.block_handle(F.col("o_orderkey") * 131, F.col("o_custkey") * 977)
+    made = table(spark, d, "orders").select("o_orderkey", handle.alias("digits")).withColumn("h", B.block_handle_decode(F.unhex("digits")))
+    return made.select("o_orderkey", "digits", "h.offset", "h.size", "h.used")
 
 
 _MAGIC = B.TABLE_MAGIC.to_bytes(8, "little").hex()
