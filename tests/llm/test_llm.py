@@ -502,6 +502,19 @@ def test_components_of_chains(spark):
     assert {i: found.get(i, i) for i in range(201)} == want
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars of a third of all edges each, one of them around the largest node, with and without hot nodes."""
+    rng = random.Random(8)
+    edges = [(i, 0) for i in range(2, 300)] + [(9999, i) for i in range(1000, 1300)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(300)]
+    links = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
+    nodes = {x: x for e in edges for x in e if e[0] != e[1]}
+    want = brute_components(nodes, lambda a, b: (a, b) in links)
+    for most in (1, 4, simhash.HOT_NODES):
+        monkeypatch.setattr(simhash, "HOT_NODES", most)
+        found = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert found == {x: want[x] for x in found} and set(found) == set(nodes)
+
+
 def test_near_copies(spark):
     rng = random.Random(9)
     rows = []

@@ -34,6 +34,8 @@ from .common import batches_of, fresh, small_batches, table, written
 SEED = 42
 #: A bucket of more fingerprints is cut by a further block.
 HOT_BUCKET = 4096
+#: A node with more than one in so many of all edge ends is hot: there are fewer hot nodes than this.
+HOT_NODES = 1 << 14
 #: Shingles that are hashed and counted at once.
 SLICE = 1 << 15
 
@@ -162,17 +164,29 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return out.distinct()
 
 
+def _at_hubs(rows: DataFrame, values: DataFrame, n: int) -> DataFrame:
+    """rows joined with values (u, m, ends), ends being the rows of u among n: hot ones by broadcast, so a hub's rows stay where they are."""
+    hot = F.col("ends") > n / HOT_NODES
+    here = rows.join(F.broadcast(values.where(hot).select("u", "m")), "u", "left")
+    rest = here.where("m is null").drop("m").join(values.where(~hot).select("u", "m"), "u")
+    return here.where("m is not null").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of an edge (u, v) reaches, by large star and small star."""
+    """(node, component): the smallest node that each node of an edge (u, v) reaches, by large star and small star.
+
+    A node may be in a third of all edges: its least neighbour comes from partial aggregates and goes to its edges.
+    """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     check = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     before = e.select(check).first()
     while before[0][0]:
+        n = 2 * before[0][0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("ends"))
+        large = _at_hubs(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("ends"))
+        small = _at_hubs(large, low, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = e.select(check).first()
         if after == before:
