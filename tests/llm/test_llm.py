@@ -10,6 +10,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -573,6 +574,46 @@ def test_near_copies_by_passages(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows, extra=False)).collect()} == set(want.values())
 
 
+def test_pipeline_links_close_fingerprints(spark):
+    """The pipeline's stage loses no link of op6, links pairs of 0.8 besides, and joins both kinds in one group."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        a = words(rng, rng.randrange(200, 500), 100000).split()
+        b = list(a)
+        for at in rng.sample(range(len(a)), len(a) // 30):
+            b[at] = f"new{rng.randrange(10**6)}"
+        c = b + words(rng, round(len(b) * 0.2), 100000).split()
+        texts += [" ".join(x) for x in (a, b, c)]
+    # within 3 bits, and far under 0.8
+    texts += ["la " * 400 + words(rng, n, 100000) for n in (150, 160, 170)]
+    rng.shuffle(texts)
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    items = {i: (brute_fingerprint(t), set(simhash.shingles(t.encode(), 5))) for i, t, *_ in rows}
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 3
+    alike = lambda x, y: len(x[1] & y[1]) >= 0.8 * len(x[1] | y[1])
+    want = brute_components(items, lambda x, y: close(x, y) or alike(x, y))
+    by_prints, by_shingles = set(brute_components(items, close).values()), set(brute_components(items, alike).values())
+    assert set(want.values()) < by_prints and set(want.values()) < by_shingles
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), SF).collect()]
+    assert sorted(kept) == sorted(set(want.values()))
+
+
+def test_proposals_of_large_buckets(monkeypatch):
+    """A large bucket's first round asks for another, whatever is linked before and even if its text has no partner."""
+    monkeypatch.setattr(simhash, "FEW", 4)
+    other, same = (rng.integers(0, 1 << 16, simhash.MINIMA, np.uint16).tobytes() for rng in map(np.random.default_rng, (1, 2)))
+    for label in ([0, 1, 2, 3, 4, 5], [0, 0, 2, 3, 4, 5]):
+        sketched = [other if x == 0 else same for x in label]
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * 6), pa.array(range(6)), pa.array(label), pa.array(sketched, pa.binary())], names=["bucket", "node", "label", "sketch"])
+        first, second = (pa.Table.from_batches(simhash._proposed(0.55, most)([batch])).to_pylist() for most in (simhash.MOST, simhash.MOST * simhash.MORE))
+        assert any(r["more"] for r in first) and all(r["u"] == r["v"] for r in first)
+        nodes = [i for i in range(6) if label[i]]
+        assert {(r["u"], r["v"]) for r in second} == {(x, y) for x in nodes for y in nodes if x > y}
+
+
 def test_one_of_each_odd(spark, odd_rows):
     out = simhash.one_of_each(docs(spark, odd_rows))
     assert out.columns == docs(spark, odd_rows).columns

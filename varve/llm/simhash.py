@@ -215,7 +215,7 @@ DRAWN, FREQUENT, MOST_FREQUENT = 16, 8, 1 << 20
 MARGIN = 0.25
 #: Rows of an Arrow batch with two texts each.
 PAIR_ROWS = 64
-#: A bucket of more texts has its first text compared with all others before all are compared with each other.
+#: A bucket of more texts has one text compared with all others before all are compared with each other.
 FEW = 4096
 #: Partners that a text is compared with in the first round, and how many times as many in each next one.
 MOST, MORE = 1, 64
@@ -304,16 +304,16 @@ def _close_sets(similarity: float):
     return run
 
 
-def proposals(label: np.ndarray, sketches: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def proposals(label: np.ndarray, sketches: np.ndarray, least: float, most: int, star: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
     """Positions of pairs of different labels whose sketches agree in a part of at least `least`, and whether there are more.
 
-    Of each text, its `most` strongest ones; the texts of the largest label need not seek, as the others find them. In a
-    bucket of more than FEW texts without any link so far, those of its first text: they leave few labels in most.
+    Of each text, its `most` strongest ones; the texts of the largest label need not seek, as the others find them. If
+    `star`, those of the first text of the largest label: in a large bucket they leave few labels in most.
     """
-    names, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    star = len(label) > FEW and len(names) == len(label)
+    _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    largest = of == sizes.argmax()
     us, vs, more = [], [], star
-    for x in [0] if star else np.flatnonzero(of != sizes.argmax()).tolist():
+    for x in [int(largest.argmax())] if star else np.flatnonzero(~largest).tolist():
         like = np.bitwise_count((sketches == sketches[x]).view(np.uint64)).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero((like >= least * sketches.shape[1]) & (of != of[x]))
         if len(near) > most and not star:
@@ -325,13 +325,16 @@ def proposals(label: np.ndarray, sketches: np.ndarray, least: float, most: int)
 
 def _proposed(least: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of (bucket, node, label, sketch) sorted by bucket and node."""
+        """Batches of (bucket, node, label, sketch) sorted by bucket and node. A bucket with more pairs but none yet gives a node with itself."""
         at, nodes, labels, held = None, [], [], []
 
         def found() -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
-                x, y, more = proposals(np.array(labels), np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1), least, most)
+                star = most == MOST and len(nodes) > FEW
+                x, y, more = proposals(np.array(labels), np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1), least, most, star)
                 own = np.array(nodes)
+                if more and not len(x):
+                    x = y = np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own[x], own[y])), pa.array(np.minimum(own[x], own[y])), pa.array(np.full(len(x), more))], names=["u", "v", "more"])
 
         for b in batches:
@@ -364,33 +367,42 @@ def _confirmed(width: int, similarity: float):
     return run
 
 
-def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the links inside the buckets of `sets` (bucket, node).
+def _print_links(documents: DataFrame, distance: int, id_col: str) -> DataFrame:
+    """(u, v), u > v: pairs of ids that span the components of near_duplicates."""
+    prints = written(fingerprints(documents, id_col=id_col), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    same = prints.join(nodes, "fp").where("doc_id > node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    return links(nodes, distance).unionByName(same)
+
+
+def _linked(sets: DataFrame, sketches: DataFrame, text: DataFrame, width: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the links inside the buckets of `sets` (bucket, node) and of `known` ones (u, v).
 
     In rounds: texts of a bucket that are not in one component yet are compared in full with their strongest partners of
     other components, and with MORE times as many in the next round, until every such pair has been compared.
     """
-    left, tested, links, most = sets.withColumn("label", F.col("node")), None, None, MOST
+    left, tested, most = sets.withColumn("label", F.col("node")), None, MOST
     while True:
         full = left.join(sketches, "node").select("bucket", "node", "label", "sketch")
         full = full.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_proposed(similarity - MARGIN, most), "u long, v long, more boolean")
-        pairs = written(full.where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
+        given = written(full.groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
+        pairs = given.where("u <> v")
         new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         xy = new.select("u", "v").join(text.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
         with batches_of(text.sparkSession, PAIR_ROWS):
             hits = written(xy.mapInArrow(_confirmed(width, similarity), "u long, v long"), "links")
-        links = hits if links is None else links.unionByName(hits)
-        found = components(links)
-        if pairs.where("more").isEmpty():
+        found = components(hits if known is None else hits.unionByName(known))
+        if given.where("more").isEmpty():
             return found
         tested = pairs.select("u", "v") if tested is None else tested.unionByName(new.select("u", "v"))
         found = written(found, "found")
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
         left = sets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
         open_ = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
         left, most = left.join(open_, "bucket"), most * MORE
 
 
-def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", distance: int | None = None) -> DataFrame:
     """(text_hash, text_hash2, component_id): the near-duplicate groups of different texts, by their two hashes; component_id is the smallest doc_id of a group.
 
     Texts link if their shingles of `width` words have a Jaccard similarity of `similarity` or more. Candidates are all
@@ -399,6 +411,9 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     each texts are compared in full with those that a sketch of the shingles finds alike, the most similar ones first, until
     they are in one component or no pair is left.
 
+    With a `distance`, texts also link as in near_duplicates: if their SimHash fingerprints differ by at most so many bits,
+    whatever their similarity. Both kinds of links make the components.
+
     Null texts are empty; texts without a word are alike, and texts of fewer words than a shingle are alike if all their
     words are. Rows without an id take no part. Equal texts are one, with the smallest of their ids.
     """
@@ -434,14 +449,15 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, i
     rows = signed.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", F.col("at").cast("long").alias("at"))
     sets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_close_sets(similarity), "bucket long, node long").distinct()
     sets = written(sets, "sets")
-    found = _linked(sets, signed.select("node", "sketch"), signed.select(F.col("node").alias("id"), "text"), width, similarity)
+    known = None if distance is None else _print_links(signed, distance, "node")
+    found = _linked(sets, signed.select("node", "sketch"), signed.select(F.col("node").alias("id"), "text"), width, similarity, known)
     return texts.join(found, "node", "left").select("text_hash", "text_hash2", F.coalesce("component", "node").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8, distance: int | None = None) -> DataFrame:
     """documents with one row of each group of near copies: the smallest doc_id's. Rows without an id stay."""
     cols = documents.columns
-    groups = near_copies(documents, width, similarity)
+    groups = near_copies(documents, width, similarity, distance=distance)
     text = F.coalesce(F.col("text"), F.lit(""))
     # of the texts that hold the smallest id, the one with the smaller hash: rows of one id may differ
     own = documents.select(F.col("doc_id").cast("long").alias("component_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")).distinct()
