@@ -1,7 +1,10 @@
 """Scans, seeks and ranks against sorted lists, with keys of any length."""
 
 import bisect
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from varve.operators import lsm, scan, visible
 from varve.operators.ordering import Ranges, last_before, neighbours, running
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture(scope="module", params=[1, 2])
 def keys(request):
@@ -130,3 +135,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(key,a)" in plan and "LessThanOrEqual(seq,5)" in plan
     plan = scan.range_scan(spark.read.parquet(path), "a", "b").select("key")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key,a)" in plan and "LessThan(key,b)" in plan
+
+
+@pytest.mark.parametrize("name", ["kv_next_prev"])
+def test_first_query_of_a_session(name, tmp_path):
+    """In a new session, where Spark numbers columns from 0, it inferred a filter with a column that its input did not have."""
+    code = f"""import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+from varve.plans.queries import QUERIES
+assert QUERIES[{name!r}](spark, "/root/testdata/sf0.001").collect()
+spark.stop()"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
