@@ -137,7 +137,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(key,a)" in plan and "LessThan(key,b)" in plan
 
 
-@pytest.mark.parametrize("name", ["kv_next_prev"])
+@pytest.mark.parametrize("name", ["kv_next_prev", "fn_shared_prefix"])
 def test_first_query_of_a_session(name, tmp_path):
     """In a new session, where Spark numbers columns from 0, it inferred a filter with a column that its input did not have."""
     code = f"""import sys; sys.path.insert(0, {ROOT!r})
