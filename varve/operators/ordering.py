@@ -4,9 +4,6 @@ Running sums, ranks and neighbours are made in two levels: inside ranges of the
 one row a range. The ranges come from a sample of the rows' places in the order, drawn by hash, so they hold about
 as many rows each whatever the keys look like; places take in all that orders the rows, so a key with very many
 versions is cut too.
-
-Summaries are joined by `_same`, from which Spark infers nothing: from an equality of the two columns it may infer a filter of
-the summaries on the expression of the range, with columns that they do not have, and fail.
 """
 
 from __future__ import annotations
@@ -26,10 +23,6 @@ def _place(by: list[Column | str]) -> Column:
     return F.struct(*(c if isinstance(c, Column) else F.col(c) for c in by))
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
-
-
 class Ranges:
     """Ranges of the order `by` that hold about as many rows of df each: as many as there are shuffle partitions, at most.
 
@@ -49,11 +42,17 @@ class Ranges:
         self.bounds, self.n = F.array(*lits), len(picked)
 
     def of(self, *by: Column | str) -> Column:
-        """The range of a place: the number of bounds at or before it, by bisection."""
+        """The range of a place: the number of bounds at or before it, by bisection.
+
+        The place is in what the steps begin with, not in their function: Spark numbers a function's variables from 0 when it compares
+        expressions, takes columns of the same small numbers in it (a session's first) for them, and loses sight of those columns.
+        """
         if not self.n:
             return F.lit(0)
-        place, steps = _place(list(by)), F.array(*(F.lit(1 << k) for k in reversed(range(self.n.bit_length()))))
-        return F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.get(self.bounds, at + w - 1) <= place, at + w).otherwise(at))
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(self.n.bit_length()))))
+        step = lambda s, w: F.when(F.get(self.bounds, s["at"] + w - 1) <= s["place"], s["at"] + w).otherwise(s["at"])
+        begin = F.struct(F.lit(0).alias("at"), _place(list(by)).alias("place"))
+        return F.aggregate(steps, begin, lambda s, w: F.struct(step(s, w).alias("at"), s["place"].alias("place")), lambda s: s["at"])
 
 
 def running(df: DataFrame, by: list[Column | str], amount: Column, name: str) -> DataFrame:
@@ -63,7 +62,7 @@ def running(df: DataFrame, by: list[Column | str], amount: Column, name: str) ->
     local = df.withColumn("__range", at).withColumn("__amount", amount).withColumn("__local", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
     totals = df.select(at.alias("__of"), amount.alias("__amount")).groupBy("__of").agg(F.sum("__amount").alias("__total"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(before, _same("__range", "__of"), "left")
+    out = local.join(before, F.col("__range") == F.col("__of"), "left")
     return out.select(*cols, (F.col("__local") + F.col("__before")).alias(name))
 
 
@@ -74,7 +73,7 @@ def neighbours(df: DataFrame, key: str) -> DataFrame:
     ends = df.groupBy(at.alias("__of")).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
     over = Window.orderBy("__of")
     ends = ends.select("__of", F.lag("__most").over(over).alias("__before"), F.lead("__least").over(over).alias("__after"))
-    out = local.join(ends, _same("__range", "__of"), "left")
+    out = local.join(ends, F.col("__range") == F.col("__of"), "left")
     return out.select(*df.columns, F.coalesce("__prev", "__before").alias("prev_key"), F.coalesce("__next", "__after").alias("next_key"))
 
 
@@ -92,5 +91,5 @@ def last_before(df: DataFrame, by: list[Column | str], value: Column, name: str,
         near = F.last("__value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         far = F.last("__end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.withColumn("__far", far).drop("__end")
-    same = reduce(lambda a, b: a & b, (_same(g, f"__of_{g}") for g in groups), _same("__range", "__of"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups), F.col("__range") == F.col("__of"))
     return both.withColumn("__near", near).join(ends, same, "left").select(*cols, F.coalesce("__near", "__far").alias(name))
