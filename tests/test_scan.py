@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(key,a)" in plan and "LessThan(key,b)" in plan
 
 
-@pytest.mark.parametrize("name", ["kv_next_prev", "fn_shared_prefix"])
+@pytest.mark.parametrize("name", ["kv_next_prev", "fn_shared_prefix", "lsm_run_contains_key"])
 def test_first_query_of_a_session(name, tmp_path):
     """In a new session, where Spark numbers columns from 0, it inferred a filter with a column that its input did not have."""
     code = f"""import sys; sys.path.insert(0, {ROOT!r})
@@ -148,3 +149,20 @@ assert QUERIES[{name!r}](spark, "/root/testdata/sf0.001").collect()
 spark.stop()"""
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
+
+
+def test_held_points_of_crowded_and_equal_spans(spark):
+    """Equal points and spans keep their number, and one crowded place is dealt to more than one task, by no more rows than its pairs need."""
+    points = [f"{i:04d}" for i in range(4000)] + ["0050"] * 3
+    spans = [("0040", "0139", n) for n in range(300)] + [("0050", "0050", 300)] * 2 + [("0139", "0040", 301), ("0300", "0400", 302), (None, "0400", 303)]
+    df = spark.createDataFrame(spans, "smallest string, largest string, n int").repartition(3)
+    got = lsm.candidates(frame(spark, points), df).select("key", "n", F.spark_partition_id().alias("task"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert Counter(r[:2] for r in rows) == Counter((k, n) for k in points for a, b, n in spans if a and a <= k <= b)
+    sizes = Counter(r[2] for r in rows)
+    assert len(sizes) > 1 and max(sizes.values()) < 0.75 * len(rows)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import bytesfn as B
 from ..model import DELETE, LEVELS, PUT
-from .ordering import Ranges, last_before, running
+from .ordering import Ranges, held, last_before, running
 
 WRITE_BUFFER, OUTPUT_FILE = 4 << 20, 2 << 20
 L0_TRIGGER, LEVEL_BASE = 4, 10 << 20
@@ -36,10 +36,8 @@ def _over(files: DataFrame, ranges: Ranges) -> DataFrame:
 
 
 def candidates(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, file) pairs where the file's range holds the key: met inside ranges of the keys."""
-    ranges, files = Ranges(keys, "key"), files.where("smallest <= largest")
-    held = (F.col("smallest") <= F.col("key")) & (F.col("key") <= F.col("largest"))
-    return keys.withColumn("range", ranges.of("key")).join(_over(files, ranges), "range").where(held).drop("range")
+    """(key, file) pairs where the file's range holds the key."""
+    return held(keys, files, "key").select("point.*", "span.*")
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql.window import Window
 #: Places that are drawn for each range.
 DRAWN = 24
 
+#: Points that pairs with spans are made from at a time.
+BLOCK = 16
+
 
 def _place(by: list[Column | str]) -> Column:
     """What rows are ordered by, ascending, as one value that compares."""
@@ -93,3 +96,37 @@ def last_before(df: DataFrame, by: list[Column | str], value: Column, name: str,
     ends = ends.withColumn("__far", far).drop("__end")
     same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups), F.col("__range") == F.col("__of"))
     return both.withColumn("__near", near).join(ends, same, "left").select(*cols, F.coalesce("__near", "__far").alias(name))
+
+
+def held(points: DataFrame, spans: DataFrame, at: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of a point and a span (smallest, largest) of its groups that holds it, as the structs `point` and `span`.
+
+    In ranges of the points' order, where they meet by sorting, a span holds the points between two places. These go by
+    blocks of BLOCK points, and each span is sent to the blocks that it holds points of. So no pair is made that is not returned,
+    and the pairs of a block are as many as the spans, BLOCK times, at most. The blocks are dealt to all shuffle
+    partitions by number, which Spark doesn't merge: their bytes are few, the pairs may be many.
+    """
+    ranges, spans = Ranges(points, at), spans.where("smallest <= largest")
+    point, span = (F.struct(*(F.col(c) for c in df.columns)) for df in (points, spans))
+    ends = F.array(*(F.struct(F.col(c).alias("key"), F.lit(turn).alias("turn")) for c, turn in (("smallest", 0), ("largest", 2))))
+    spanned = spans.withColumn("__range", F.explode(F.sequence(ranges.of("smallest"), ranges.of("largest")))).withColumn("__end", F.explode(ends))
+    side = lambda df, key, turn, p, s: df.select(*groups, "__range", key.alias("__key"), turn.alias("__turn"), p.alias("point"), s.alias("span"))
+    no_point, no_span = (F.lit(None).cast(df.select(x.alias("x")).schema["x"].dataType) for df, x in ((points, point), (spans, span)))
+    both = side(points.withColumn("__range", ranges.of(at)), F.col(at), F.lit(1), point, no_span)
+    both = both.unionByName(side(spanned, F.col("__end.key"), F.col("__end.turn"), no_point, span))
+    before = Window.partitionBy(*groups, "__range").orderBy("__key", "__turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("__place", F.coalesce(F.sum(F.when(F.col("__turn") == 1, 1).otherwise(0)).over(before), F.lit(0)))
+
+    block, of_span = lambda place: F.floor(place / BLOCK).cast("long"), F.col("span").isNotNull()
+    met = placed.groupBy(*groups, "__range", "span", F.when(F.col("__turn") == 1, block(F.col("__place"))).alias("__block"))
+    here = F.sort_array(F.collect_list(F.when(F.col("__turn") == 1, F.struct("__place", "point")))).alias("__points")
+    met = met.agg(here, F.min("__place").alias("__from"), F.max("__place").alias("__to"), (F.count("*") / 2).cast("long").alias("__copies")).where(~of_span | (F.col("__from") < F.col("__to")))
+    first, last = block(F.col("__from")), block(F.col("__to") - 1)
+    sent = F.sequence(F.lit(0).cast("long"), F.when(of_span, (last - first + 1) * F.col("__copies") - 1).otherwise(0))
+    met = met.withColumn("__nth", F.explode(sent)).withColumn("__block", F.when(of_span, first + F.col("__nth") % (last - first + 1)).otherwise(F.col("__block")))
+    met = met.drop("__nth", "__copies").repartition(ranges.parts, *groups, "__range", "__block")
+    begun = Window.partitionBy(*groups, "__range", "__block").orderBy(of_span).rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("__points", F.first("__points").over(begun)).where(of_span)  # a block's points come before its spans
+    skip = F.greatest(F.col("__from") - F.col("__block") * BLOCK, F.lit(0))
+    these = F.slice("__points", (skip + 1).cast("int"), (F.least(F.col("__to") - F.col("__block") * BLOCK, F.lit(BLOCK)) - skip).cast("int"))
+    return met.select("span", F.explode(these).alias("__point")).select("__point.point", "span")
