@@ -166,3 +166,11 @@ def test_held_points_of_crowded_and_equal_spans(spark):
     assert Counter(r[:2] for r in rows) == Counter((k, n) for k in points for a, b, n in spans if a and a <= k <= b)
     sizes = Counter(r[2] for r in rows)
     assert len(sizes) > 1 and max(sizes.values()) < 0.75 * len(rows)
+
+
+def test_overlap_pairs_makes_only_its_pairs(spark):
+    """Files that don't meet are not compared, in however few ranges they are."""
+    files = spark.range(4000).select(F.lit(0).alias("level"), F.col("id").alias("file_no"), *(F.format_string("%06d", F.col("id") * 2 + d).alias(c) for c, d in (("smallest", 0), ("largest", 1))))
+    assert lsm.overlap_pairs(files).collect() == []
+    plan = lsm.overlap_pairs(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()), plan

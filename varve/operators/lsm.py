@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import bytesfn as B
 from ..model import DELETE, LEVELS, PUT
-from .ordering import Ranges, held, last_before, running
+from .ordering import held, last_before, running
 
 WRITE_BUFFER, OUTPUT_FILE = 4 << 20, 2 << 20
 L0_TRIGGER, LEVEL_BASE = 4, 10 << 20
@@ -30,24 +30,18 @@ def run_metadata(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def _over(files: DataFrame, ranges: Ranges) -> DataFrame:
-    """files, a row for each of the ranges (in `range`) that a file's keys reach into."""
-    return files.withColumn("range", F.explode(F.sequence(ranges.of("smallest"), ranges.of("largest"))))
-
-
 def candidates(keys: DataFrame, files: DataFrame) -> DataFrame:
     """(key, file) pairs where the file's range holds the key."""
     return held(keys, files, "key").select("point.*", "span.*")
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:
-    """Pairs of files of one level whose ranges meet: each where the later of the two begins, inside ranges of the keys."""
-    files = files.where("smallest <= largest")
-    ranges = Ranges(files, "smallest")
-    side = lambda x: _over(files, ranges).select("level", "range", *(F.col(c).alias(f"{c}_{x}") for c in ("file_no", "smallest", "largest")))
-    meet = (F.col("largest_a") >= F.col("smallest_b")) & (F.col("largest_b") >= F.col("smallest_a")) & (F.col("file_no_a") < F.col("file_no_b"))
-    here = F.col("range") == ranges.of(F.greatest("smallest_a", "smallest_b"))
-    return side("a").join(side("b"), ["level", "range"]).where(meet & here).select("level", F.col("file_no_a").alias("file_a"), F.col("file_no_b").alias("file_b"))
+    """Pairs of files of one level whose ranges meet: the earlier one's holds where the later one begins."""
+    files = files.where("smallest <= largest").select("level", "file_no", "smallest", "largest")
+    met = held(files.select("level", "smallest", "file_no"), files, "smallest", ("level",))
+    later = F.struct("span.smallest", "span.file_no") < F.struct("point.smallest", "point.file_no")
+    a, b = F.col("span.file_no"), F.col("point.file_no")
+    return met.where(later & (a != b)).select("span.level", F.least(a, b).alias("file_a"), F.greatest(a, b).alias("file_b"))
 
 
 def overlap_islands(files: DataFrame) -> DataFrame:
