@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 DRAWN = 24
 
 #: Points that pairs with spans are made from at a time.
-BLOCK = 16
+BLOCK = 64
 
 
 def _place(by: list[Column | str]) -> Column:
