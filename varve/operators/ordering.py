@@ -47,8 +47,8 @@ class Ranges:
     def of(self, *by: Column | str) -> Column:
         """The range of a place: the number of bounds at or before it, by bisection.
 
-        The place is in what the steps begin with, not in their function: Spark numbers a function's variables from 0 when it compares
-        expressions, takes columns of the same small numbers in it (a session's first) for them, and loses sight of those columns.
+        The place is in what the steps begin with, not in their function: of a session's first columns inside it Spark lost sight, and
+        inferred filters of relations without them. Likely it takes them for the function's variables, which it numbers from 0 to compare.
         """
         if not self.n:
             return F.lit(0)
